@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 from tablewash.operators import headers
 
 
-def iso_text(c: Column) -> Column:
+def iso_text(c: Column, separator: str = "T") -> Column:
     """ISO text of a timestamp; the fraction is shown only when there is one."""
-    seconds = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    seconds = F.date_format(c, f"yyyy-MM-dd'{separator}'HH:mm:ss")
     return F.when(
         F.date_format(c, "SSSSSS") != "000000",
         F.concat(seconds, F.lit("."), F.date_format(c, "SSSSSS")),

@@ -147,7 +147,7 @@ def fill_numeric(df: DataFrame, method: str, exclude: Collection[str] = ()) -> D
     if not columns:
         return df
     if method == "zero":
-        return df.fillna(0, subset=columns)
+        return df.fillna(0, subset=[f"`{c}`" for c in columns])
     narrow = df.select(*[F.col(f"`{c}`") for c in columns])
     stats = narrow.agg(
         F.count(F.lit(1)).alias("n"),

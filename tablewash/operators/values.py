@@ -46,7 +46,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
     """Drop rows whose business columns are all NULL."""
-    return df.dropna("all", subset=headers.business_columns(df))
+    return df.dropna("all", subset=[f"`{c}`" for c in headers.business_columns(df)])
 
 
 def fix_dates(df: DataFrame, columns: Iterable[str], reference_year: int = 2026) -> DataFrame:
