@@ -149,7 +149,7 @@ def test_diff(spark):
     assert [r["row_index"] for r in number_rows(diff.changed(), raw).collect()] == [1, 2]
 
 
-def test_reference_fixture(spark, csv_file):
+def test_three_row_fixture(spark, csv_file):
     path = csv_file("id,name,value\n1,Ahmed,10\n2,Mohamed, \n1,Ahmed,10\n")
     df = read_table(spark, path)
     assert dict(df.dtypes)["value"] == "string" and dict(df.dtypes)["id"] == "bigint"
