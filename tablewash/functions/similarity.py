@@ -10,6 +10,10 @@ The weighted score takes, with r = longer / shorter length,
 * r > 8: the same with 0.6 for 0.9.
 
 At the two fixed cutoffs of the library this reduces to integer comparisons.
+At 90, with r < 1.5: ``10 * indel <= total`` on the texts, ``19 * indel <= total``
+on their sorted words or, shared words aside, on the words that differ, or
+shared words that all but make up the shorter list; with r >= 1.5 only a
+contained text reaches 90.
 """
 
 from __future__ import annotations
@@ -120,45 +124,23 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, TOKEN_BREAK), lambda t: t != "")
 
 
-def _joined(words: Column) -> Column:
-    return F.array_join(F.array_sort(words), " ")
+def joined(words: Column) -> Column:
+    return F.array_join(words, " ")
 
 
-def weighted_at_least_90(a: Column, b: Column, words_a: Column, words_b: Column) -> dict[str, Column]:
-    """Parts of the test ``weighted score >= 90`` on two non-empty texts.
+def letters(c: Column) -> Column:
+    """The characters of a text in sorted order, without white space.
 
-    Returns the native verdict ``sure`` and three pairs of texts whose LCS
-    decides the rest; a pair is NULL where a native bound already rules it out.
-    Each comes with the largest indel distance it may have.
+    The distance of two such texts bounds the indel distance from below, in
+    whatever order the words stand.
     """
-    la, lb = F.length(a), F.length(b)
-    short, long = F.least(la, lb), F.greatest(la, lb)
-    near = 2 * long < 3 * short
-    longer = F.when(la >= lb, a).otherwise(b)
-    shorter = F.when(la >= lb, b).otherwise(a)
-    part = ~near & (long <= 8 * short) & longer.contains(shorter)
-
-    set_a, set_b = F.array_distinct(words_a), F.array_distinct(words_b)
-    shared = F.array_intersect(set_a, set_b)
-    only_a, only_b = F.array_except(set_a, set_b), F.array_except(set_b, set_a)
-    shared_len = F.length(F.array_join(shared, " "))
-    text_a, text_b = _joined(only_a), _joined(only_b)
-    rest_a, rest_b = F.length(text_a), F.length(text_b)
-    subset = (F.size(shared) > 0) & ((F.size(only_a) == 0) | (F.size(only_b) == 0))
-    mostly_shared = (F.size(shared) > 0) & (9 * (1 + F.least(rest_a, rest_b)) <= shared_len)
-    has_words = (F.size(words_a) > 0) & (F.size(words_b) > 0)
-    several = near & has_words & ((F.size(words_a) > 1) | (F.size(words_b) > 1))
-    sure = part | (several & (subset | mostly_shared))
-
-    def pair(condition: Column, x: Column, y: Column, total: Column, parts: int):
-        allowed = F.floor(total / parts).cast("int")
-        # Levenshtein distance is never above the indel distance.
-        open_ = condition & ~sure & (F.levenshtein(x, y) <= allowed)
-        return F.when(open_, x), F.when(open_, y), allowed
-
-    gap = F.when(F.size(shared) > 0, F.lit(2)).otherwise(F.lit(0))
-    raw = pair(near, a, b, la + lb, 10)
-    sorted_a, sorted_b = _joined(words_a), _joined(words_b)
-    ordered = pair(several, sorted_a, sorted_b, F.length(sorted_a) + F.length(sorted_b), 19)
-    rests = pair(several, text_a, text_b, 2 * shared_len + gap + rest_a + rest_b, 19)
-    return {"sure": sure, "raw": raw, "ordered": ordered, "rests": rests}
+    bare = F.regexp_replace(c, TOKEN_BREAK, "")
+    return F.array_join(F.array_sort(F.split(bare, "")), "")
+
+
+def no_farther(a: Column, b: Column, allowed: Column) -> Column:
+    """Native necessary bound for ``indel(a, b) <= allowed``: Levenshtein is never larger."""
+    allowed = allowed.cast("int")
+    near = F.abs(F.length(a) - F.length(b)) <= allowed
+    # With a threshold the function stops early and returns -1 beyond it.
+    return near & (F.call_function("levenshtein", a, b, F.greatest(allowed, F.lit(0))) >= 0)

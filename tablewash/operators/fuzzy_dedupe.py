@@ -25,11 +25,18 @@ from tablewash.functions import patterns as P
 from tablewash.functions import similarity
 from tablewash.functions.text import as_text
 from tablewash.operators.candidates import (
+    BAGS,
     MAX_GRAM,
-    GramRule,
+    bag_distance,
+    bag_excess,
+    contained_rule,
     gram_members,
+    rarest_grams,
     ratio_compatible,
     ratio_rule,
+    salted_join,
+    shuffle_partitions,
+    with_letter_bag,
 )
 from tablewash.operators.checkpoints import cut
 from tablewash.operators.headers import ROW_ID
@@ -41,119 +48,122 @@ WINDOW_GROWTH = 4
 RANK_SALTS = 64
 
 OPEN, KEPT, DROPPED = 0, 1, 2
+# The four ways to reach a score of 90; each has its own keys and its own test.
+RATIO, CONTAINED, PIECES, WORDS = 0, 1, 2, 3
 
 
-def _contained_rule(length: int) -> GramRule:
-    return GramRule(min(MAX_GRAM, length), 0, -(-3 * length // 2), 8 * length)
+def _word_members(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists that share all words of the shorter list, or all but a tenth of its letters.
 
-
-def _ratio_members(values: DataFrame) -> DataFrame:
-    """Values within ratio 90 of each other share a gram at a near position."""
-    members = gram_members(
-        values.select("id", "value"), "value", lambda n: ratio_rule(n, P.DEDUPE_CUTOFF), "r", True
-    )
-    return members.select("key", "role", "id", "pos", "len", F.lit("r").alias("kind"))
-
-
-def _containment_members(values: DataFrame) -> DataFrame:
-    """A contained value shares all its grams with its container: its rarest one is enough."""
-    members = gram_members(
-        values.select("id", "value"), "value", _contained_rule, "c", False
-    ).select("key", "role", "id", "pos", "len", F.lit("c").alias("kind"))
-    longs = members.where("role = 'L'")
-    frequency = longs.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (
-        members.where("role = 'S'")
-        .join(frequency, "key", "left")
-        .groupBy("id")
-        .agg(
-            F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("least"),
-            F.first("len").alias("len"),
-        )
-        .where("least.n > 0")
-        .select(
-            F.col("least.key").alias("key"), F.lit("S").alias("role"), "id",
-            F.lit(0).alias("pos"), "len", F.lit("c").alias("kind"),
-        )
-    )
-    return rarest.unionByName(longs)
+    With the unshared words at most (U - 10) / 10 letters long, U the length of
+    the shorter list, words with more letters than that include a shared one.
+    """
+    entries = words.select(
+        "id", "len", "total", "several", *BAGS, F.explode(F.array_distinct("words")).alias("word")
+    ).select("id", "len", "several", *BAGS, F.xxhash64(F.lit("w"), "word").alias("key"), F.lit(0).alias("pos"),
+             F.length("word").alias("weight"),
+             F.greatest(F.floor((F.col("total") - 10) / 10), F.lit(0)).cast("int").alias("limit"))
+    return entries, entries.drop("weight", "limit")
 
 
-def _token_members(values: DataFrame) -> DataFrame:
-    """Values whose word sets nearly agree share a piece of a word.
+def _piece_members(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists of nearly the same words share a piece of a word.
 
-    With U letters in the shorter word list at most U / 9 insertions and
-    deletions are allowed, so U // 9 + 1 disjoint pieces inside words suffice.
-    Word order is free, so positions are not used.  A pair of single words is
-    left to the ratio members.
+    With U letters in the shorter list at most U / 9 insertions and deletions
+    are allowed, so U // 9 + 1 disjoint pieces inside words suffice.  Word order
+    is free, so positions are not used.
     """
-    words = values.select("id", "words", F.length("value").alias("len")).where(F.size("words") > 0)
-    total = F.aggregate("words", F.lit(0), lambda s, w: s + F.length(w)) + F.size("words") - 1
-    needed = F.floor(total / 9) + 1
-
-    def pieces(q: int) -> Column:
-        per_word = F.transform(
-            "words",
-            lambda w: F.transform(
-                F.when(F.length(w) >= q, F.sequence(F.lit(1), F.length(w) - q + 1, F.lit(q)))
-                .otherwise(F.array().cast("array<int>")),
-                lambda i: F.substr(w, i, F.lit(q)),
-            ),
-        )
-        return F.flatten(per_word)
-
-    def all_grams(q: int) -> Column:
-        per_word = F.transform(
-            "words",
-            lambda w: F.transform(
-                F.when(F.length(w) >= q, F.sequence(F.lit(1), F.length(w) - q + 1))
-                .otherwise(F.array().cast("array<int>")),
-                lambda i: F.substr(w, i, F.lit(q)),
-            ),
+    allowed = F.floor(F.col("total") / 9).cast("int")
+    words = words.withColumn("distinct", F.array_distinct("words"))
+
+    def parts(q: int, step: int) -> Column:
+        return F.flatten(
+            F.transform(
+                "distinct",
+                lambda w: F.when(
+                    F.length(w) >= q,
+                    F.transform(
+                        F.sequence(F.lit(1), F.length(w) - q + 1, F.lit(step)),
+                        lambda i: F.substr(w, i, F.lit(q)),
+                    ),
+                ).otherwise(F.array().cast("array<string>")),
+            )
         )
-        return F.array_distinct(F.flatten(per_word))
-
-    sizes = range(MAX_GRAM, 0, -1)
-    chosen = F.lit(None).cast("array<string>")
-    for q in reversed(sizes):
-        chosen = F.when(F.size(pieces(q)) >= needed, pieces(q)).otherwise(chosen)
-    short = F.array_distinct(F.slice(chosen, F.lit(1), needed.cast("int")))
-    long = F.flatten(F.array(*[all_grams(q) for q in sizes]))
-
-    several = F.size("words") > 1
-    # Key group m: a shorter list of several words; key group o: of one word.
-    s_groups = F.when(several, F.array(F.lit("m"))).otherwise(F.array(F.lit("o")))
-    l_groups = F.when(several, F.array(F.lit("m"), F.lit("o"))).otherwise(F.array(F.lit("m")))
-
-    def rows(grams: Column, groups: Column, role: str) -> DataFrame:
-        return words.select(
-            "id", "len", F.explode(grams).alias("gram"), groups.alias("groups")
-        ).select(
-            F.explode("groups").alias("group"), "gram", "id", "len", F.lit(role).alias("role"),
+
+    def count(q: int) -> Column:
+        return F.aggregate("distinct", F.lit(0), lambda n, w: n + F.floor(F.length(w) / q).cast("int"))
+
+    # The longest pieces that leave one to spare, else the longest that suffice.
+    size = F.lit(1)
+    for spare, q in [(0, 2), (0, 3), (0, MAX_GRAM), (1, 3), (1, MAX_GRAM)]:
+        size = F.when(count(q) > allowed + spare, F.lit(q)).otherwise(size)
+    sized = words.withColumn("size", size)
+    published = F.array().cast("array<string>")
+    for q in range(1, MAX_GRAM + 1):
+        published = F.when(F.col("size") == q, parts(q, q)).otherwise(published)
+    every = F.flatten(F.array(*[F.array_distinct(parts(q, 1)) for q in range(1, MAX_GRAM + 1)]))
+
+    def rows(found: Column, *more: Column) -> DataFrame:
+        return sized.select("id", "len", "several", *BAGS, F.explode(found).alias("gram"), *more).select(
+            "id", "len", "several", *BAGS, F.xxhash64(F.lit("p"), "gram").alias("key"), F.lit(0).alias("pos"),
+            *[c for c in ("weight", "limit") if more],
         )
 
-    both = rows(short, s_groups, "S").unionByName(rows(long, l_groups, "L"))
-    return both.select(
-        F.xxhash64(F.lit("t"), "group", "gram").alias("key"), "role", "id",
-        F.lit(0).alias("pos"), "len", F.lit("t").alias("kind"),
+    return (
+        rows(published, F.lit(1).alias("weight"), allowed.alias("limit")),
+        rows(every),
     )
 
 
+def _split_by_word_count(short: DataFrame, long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two texts of one bare word never meet on word keys: their ratio says it all.
+
+    Key side m serves shorter lists of several words (or one in white space),
+    side o those of one bare word.
+    """
+    s = short.withColumn("key", F.xxhash64("key", F.when(F.col("several"), "m").otherwise("o")))
+    sides = F.when(F.col("several"), F.array(F.lit("m"), F.lit("o"))).otherwise(F.array(F.lit("m")))
+    l = long.withColumn("side", F.explode(sides)).withColumn("key", F.xxhash64("key", "side"))
+    return s.drop("several"), l.drop("several", "side")
+
+
 def _members(values: DataFrame) -> DataFrame:
-    parts = [_ratio_members(values), _containment_members(values), _token_members(values)]
+    """(key, kind, role, id, pos, len) rows on which values meet."""
+    values = with_letter_bag(values, "value")
+    texts = values.select("id", "value", *BAGS)
+    # A repeated word counts once in one of the word tests: no bag speaks for both.
+    once = F.size("words") == F.size(F.array_distinct("words"))
+    words = values.where(F.size("words") > 0).select(
+        "id", "words", F.length("value").alias("len"), F.length("sorted").alias("total"),
+        (F.col("value") != F.get("words", F.lit(0))).alias("several"), *[F.when(once, F.col(c)).alias(c) for c in BAGS],
+    )
+    sides = {
+        RATIO: gram_members(texts, "value", lambda n: ratio_rule(n, P.DEDUPE_CUTOFF), "r", True),
+        CONTAINED: gram_members(texts, "value", contained_rule, "c", False, contained=True),
+        PIECES: _split_by_word_count(*_piece_members(words)),
+        WORDS: _split_by_word_count(*_word_members(words)),
+    }
+    parts = []
+    for kind, (short, long) in sides.items():
+        short = rarest_grams(short, long, "id")
+        # An L row is of use only where some shorter text published the gram.
+        long = long.join(short.select("key").distinct(), "key", "left_semi")
+        parts += [
+            side.select("key", F.lit(kind).alias("kind"), F.lit(role).alias("role"), "id", "pos", "len", *BAGS)
+            for role, side in (("S", short), ("L", long))
+        ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def _leaders(members: DataFrame, window: int) -> DataFrame:
     """First ``window`` + 1 members of each (key, role), ranked in two skew-safe stages."""
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(RANK_SALTS)))
+    salt = F.pmod(F.xxhash64("id"), F.lit(RANK_SALTS))
     first = Window.partitionBy("key", "role", "salt").orderBy("id")
     second = Window.partitionBy("key", "role").orderBy("id")
-    one_per_id = salted.groupBy("key", "role", "salt", "id", "kind", "len").agg(
-        F.collect_set("pos").alias("at")
-    )
     return (
-        one_per_id.withColumn("rank", F.row_number().over(first))
+        members.groupBy("key", "role", salt.alias("salt"), "id", "len", *BAGS)
+        .agg(F.min("pos").alias("l_low"), F.max("pos").alias("l_high"))
+        .withColumn("rank", F.row_number().over(first))
         .where(F.col("rank") <= window + 1)
         .withColumn("rank", F.row_number().over(second))
         .where(F.col("rank") <= window + 1)
@@ -162,108 +172,150 @@ def _leaders(members: DataFrame, window: int) -> DataFrame:
             F.col("role").alias("l_role"),
             F.col("id").alias("l_id"),
             F.col("len").alias("l_len"),
-            F.col("at").alias("l_at"),
+            "l_low",
+            "l_high",
+            *[F.col(c).alias(f"l_{c}") for c in BAGS],
             (F.col("rank") > window).alias("beyond"),
         )
     )
 
 
 def _plausible() -> Column:
-    """Length (and, for ratio keys, position) bounds of a member and a leader."""
+    """Length, position and letter bounds of a member and a leader, by kind."""
     member_short = F.col("role") == "S"
     s_len = F.when(member_short, F.col("len")).otherwise(F.col("l_len"))
     l_len = F.when(member_short, F.col("l_len")).otherwise(F.col("len"))
-    near = F.exists(
-        "l_at",
-        lambda p: ratio_compatible(
-            s_len, l_len,
-            F.when(member_short, F.col("pos")).otherwise(p),
-            F.when(member_short, p).otherwise(F.col("pos")),
-            P.DEDUPE_CUTOFF,
-        ),
+    low = F.when(member_short, F.col("l_low") - F.col("pos")).otherwise(F.col("pos") - F.col("l_high"))
+    high = F.when(member_short, F.col("l_high") - F.col("pos")).otherwise(F.col("pos") - F.col("l_low"))
+    apart = bag_distance(F.col("parity"), F.col("l_parity"))
+    mine, theirs = F.col("mask"), F.col("l_mask")
+    lacking = bag_excess(
+        F.when(member_short, mine).otherwise(theirs), F.when(member_short, theirs).otherwise(mine)
     )
+    near = 2 * F.greatest("len", "l_len") < 3 * F.least("len", "l_len")
+    total = s_len + l_len
     return (
-        F.when(F.col("kind") == "r", near)
-        .when(F.col("kind") == "c", (2 * l_len >= 3 * s_len) & (l_len <= 8 * s_len))
-        .otherwise(2 * F.greatest("len", "l_len") < 3 * F.least("len", "l_len"))
+        F.when(
+            F.col("kind") == RATIO,
+            ratio_compatible(s_len, l_len, low, high, P.DEDUPE_CUTOFF) & (10 * apart <= total),
+        )
+        .when(F.col("kind") == CONTAINED, (2 * l_len >= 3 * s_len) & (l_len <= 8 * s_len) & (lacking == 0))
+        # A list without words of its own counts one separator more.
+        .when(F.col("kind") == PIECES, near & F.coalesce(19 * apart <= total + 2, F.lit(True)))
+        .otherwise(near)
     )
 
 
 def _similar_pairs(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    """Those (later, earlier) pairs whose weighted score is at least 90."""
-    left = values.select(F.col("id").alias("later"), F.col("value").alias("a"), F.col("words").alias("wa"))
-    right = values.select(F.col("id").alias("earlier"), F.col("value").alias("b"), F.col("words").alias("wb"))
-    full = pairs.join(left, "later").join(right, "earlier")
-    test = similarity.weighted_at_least_90(F.col("a"), F.col("b"), F.col("wa"), F.col("wb"))
-    settled = full.select("later", "earlier", test["sure"].alias("sure"), *[
-        c.alias(f"{name}_{part}")
-        for name in ("raw", "ordered", "rests")
-        for part, c in zip(("x", "y", "allowed"), test[name])
-    ]).where("sure or raw_x is not null or ordered_x is not null or rests_x is not null")
-
-    def within(name: str) -> Column:
-        x, y = F.col(f"{name}_x"), F.col(f"{name}_y")
+    """Those (later, earlier, kind) pairs that pass the test of their kind."""
+    def sides(kind: int, *columns: str) -> DataFrame:
+        out = pairs.where(F.col("kind") == kind).select("later", "earlier")
+        for end, mark in (("later", "a"), ("earlier", "b")):
+            texts = values.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{mark}") for c in columns])
+            out = out.join(texts, end)
+        return out
+
+    def scored(df: DataFrame, x: Column, y: Column, allowed: Column) -> DataFrame:
         distance = F.length(x) + F.length(y) - 2 * similarity.lcs_length(x, y)
-        return F.coalesce(distance <= F.col(f"{name}_allowed"), F.lit(False))
-
-    sure = settled.where("sure").select("later", "earlier")
-    scored = (
-        settled.where("not sure")
-        .withColumn("hit", within("raw") | within("ordered") | within("rests"))
-        .where("hit")
-        .select("later", "earlier")
+        return df.where(distance <= allowed).select("later", "earlier")
+
+    a, b = F.col("value_a"), F.col("value_b")
+    allowed = F.floor((F.length(a) + F.length(b)) / 10)
+    by_ratio = scored(
+        sides(RATIO, "value").where(similarity.no_farther(a, b, allowed)), a, b, allowed
+    )
+    longer_first = F.length(a) >= F.length(b)
+    contained = sides(CONTAINED, "value").where(
+        F.when(longer_first, F.contains(a, b)).otherwise(F.contains(b, a))
+    ).select("later", "earlier")
+
+    def word_sets(df: DataFrame) -> DataFrame:
+        df = df.withColumns({
+            "both": F.array_intersect("words_a", "words_b"),
+            "rest_a": F.array_sort(F.array_except("words_a", "words_b")),
+            "rest_b": F.array_sort(F.array_except("words_b", "words_a")),
+        })
+        return df.withColumns({
+            "shared": F.length(similarity.joined(F.col("both"))),
+            "rest_a": similarity.joined(F.col("rest_a")), "rest_b": similarity.joined(F.col("rest_b")),
+            "gap": F.when(F.size("both") > 0, F.lit(2)).otherwise(F.lit(0)),
+        })
+
+    least = F.least(F.length("rest_a"), F.length("rest_b"))
+    by_words = word_sets(sides(WORDS, "words")).where(
+        (F.col("shared") > 0) & ((least == 0) | (9 * (1 + least) <= F.col("shared")))
+    ).select("later", "earlier")
+
+    # Sorted words, or the differing ones, within a nineteenth of their length.
+    la, lb = F.length("sorted_a"), F.length("sorted_b")
+    allowed = F.floor((la + lb) / 19)
+    near = sides(PIECES, "words", "sorted", "letters", "set_letters").where(
+        similarity.no_farther(F.col("letters_a"), F.col("letters_b"), allowed)
+        | similarity.no_farther(F.col("set_letters_a"), F.col("set_letters_b"), allowed)
+    )
+    near = word_sets(near)
+    rest_total = 2 * F.col("shared") + F.col("gap") + F.length("rest_a") + F.length("rest_b")
+    near = near.select(
+        "later", "earlier", F.inline(F.array(
+            F.struct(F.col("sorted_a").alias("x"), F.col("sorted_b").alias("y"), F.floor((la + lb) / 19).alias("allowed")),
+            F.struct(F.col("rest_a").alias("x"), F.col("rest_b").alias("y"), F.floor(rest_total / 19).alias("allowed")),
+        )),
+    ).where(similarity.no_farther(F.col("x"), F.col("y"), F.col("allowed")))
+    by_pieces = scored(near, F.col("x"), F.col("y"), F.col("allowed"))
+    return by_ratio.unionByName(contained).unionByName(by_words).unionByName(by_pieces).distinct()
+
+
+def _advance(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """One keep-and-drop step: drop next to a kept value, keep with no open earlier neighbour."""
+    status = state.select(F.col("id").alias("earlier"), F.col("status").alias("s"))
+    seen = (
+        edges.join(status, "earlier")
+        .groupBy("later")
+        .agg(
+            F.bool_or(F.col("s") == KEPT).alias("near_kept"),
+            F.bool_or(F.col("s") == OPEN).alias("near_open"),
+        )
+        .withColumnRenamed("later", "id")
+    )
+    is_open = F.col("status") == OPEN
+    return state.join(seen, "id", "left").select(
+        "id",
+        "incomplete",
+        F.when(is_open & F.coalesce("near_kept", F.lit(False)), F.lit(DROPPED))
+        .when(is_open & ~F.col("incomplete") & ~F.coalesce("near_open", F.lit(False)), F.lit(KEPT))
+        .otherwise(F.col("status"))
+        .alias("status"),
     )
-    return sure.unionByName(scored)
 
 
 def _settle(state: DataFrame, edges: DataFrame) -> DataFrame:
     """Repeat keep-and-drop on the known edges until nothing changes."""
+    open_before = None
     while True:
-        status = state.select(F.col("id").alias("earlier"), F.col("status").alias("s"))
-        seen = (
-            edges.join(status, "earlier")
-            .groupBy("later")
-            .agg(
-                F.bool_or(F.col("s") == KEPT).alias("near_kept"),
-                F.bool_or(F.col("s") == OPEN).alias("near_open"),
-            )
-            .withColumnRenamed("later", "id")
-        )
-        is_open = F.col("status") == OPEN
-        step = cut(
-            state.join(seen, "id", "left").select(
-                "id",
-                "incomplete",
-                F.when(is_open & F.coalesce("near_kept", F.lit(False)), F.lit(DROPPED))
-                .when(
-                    is_open & ~F.col("incomplete") & ~F.coalesce("near_open", F.lit(False)),
-                    F.lit(KEPT),
-                )
-                .otherwise(F.col("status"))
-                .alias("status"),
-                F.col("status").alias("before"),
-            )
-        )
-        counts = step.agg(
-            F.count_if(F.col("status") != F.col("before")).alias("changed"),
-            F.count_if(F.col("status") == OPEN).alias("open"),
-        ).first()
-        state = step.drop("before")
-        if not counts["changed"] or not counts["open"]:
+        # Two steps, keep and then drop, between checkpoints.
+        state = cut(_advance(_advance(state, edges), edges))
+        still_open = state.where(F.col("status") == OPEN).count()
+        if still_open in (0, open_before):
             return state
+        open_before = still_open
 
 
 def greedy_first_values(values: DataFrame, window: int = FIRST_WINDOW) -> DataFrame:
     """Ids of the kept values; ``values`` has a unique, ordered ``id`` and a ``value``."""
-    values = cut(
-        values.select("id", "value", similarity.tokens(F.col("value")).alias("words"))
-    )
+    words = similarity.tokens(F.col("value"))
+    values = values.select("id", "value", F.array_sort(words).alias("words"))
+    values = cut(values.select(
+        "id", "value", "words",
+        similarity.joined(F.col("words")).alias("sorted"),
+        similarity.letters(F.col("value")).alias("letters"),
+        similarity.letters(similarity.joined(F.array_distinct("words"))).alias("set_letters"),
+    ))
     members = cut(_members(values))
     remaining = values.select("id")
     kept = []
     while True:
         leaders = _leaders(members, window)
-        met = members.join(leaders, "key").where(
+        met = salted_join(members, leaders, "id").where(
             F.when(
                 F.col("beyond"),
                 # Own frontier reached, or an earlier partner left outside the window.
@@ -277,7 +329,8 @@ def greedy_first_values(values: DataFrame, window: int = FIRST_WINDOW) -> DataFr
             met.select(
                 F.col("id").alias("later"),
                 F.when(~F.col("beyond"), F.col("l_id")).alias("earlier"),
-            ).distinct()
+                F.when(~F.col("beyond"), F.col("kind")).alias("kind"),
+            ).distinct().repartition(shuffle_partitions(members), "later", "earlier")
         )
         edges = cut(_similar_pairs(met.where("earlier is not null"), values))
         outside = met.where("earlier is null").select(

@@ -13,7 +13,20 @@ from tablewash.functions import patterns as P
 from tablewash.functions import similarity
 from tablewash.functions.text import as_text, normalize_key
 from tablewash.operators import headers
-from tablewash.operators.candidates import gram_members, ratio_compatible, ratio_rule, window_rule
+from tablewash.operators.candidates import (
+    BAGS,
+    bag_distance,
+    bag_excess,
+    contained_rule,
+    gram_members,
+    rarest_grams,
+    ratio_compatible,
+    ratio_rule,
+    salted_join,
+    shuffle_partitions,
+    window_rule,
+    with_letter_bag,
+)
 from tablewash.operators.checkpoints import cut
 from tablewash.operators.headers import ROW_ID
 from tablewash.operators.ordering import row_id
@@ -74,73 +87,84 @@ def first_per_key(lookup: DataFrame, key_sec: str) -> DataFrame:
     )
 
 
-def _pair_members(keys: DataFrame, cutoff: int) -> DataFrame:
-    """Shared-gram keys of one side for ``weighted score >= cutoff``."""
-    by_ratio = gram_members(keys, "key_text", lambda n: ratio_rule(n, cutoff), f"r{cutoff}", True)
-    by_window = gram_members(keys, "key_text", lambda n: window_rule(n, cutoff), f"w{cutoff}", False)
-    columns = ["key", "role", "pos", "len", "key_text"]
-    return by_ratio.select(*columns, F.lit(True).alias("ratio")).unionByName(
-        by_window.select(*columns, F.lit(False).alias("ratio"))
-    )
+def _sides(keys: DataFrame, cutoff: int) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """S and L rows of one table for ``weighted score >= cutoff``, by way of meeting."""
+    contained = cutoff * 10 >= 900
+    window = contained_rule if contained else lambda n: window_rule(n, cutoff)
+    return {
+        "ratio": gram_members(keys, "key_text", lambda n: ratio_rule(n, cutoff), f"r{cutoff}", True),
+        "window": gram_members(keys, "key_text", window, f"w{cutoff}", False, contained),
+    }
+
+
+def _meetings(main_keys: DataFrame, lookup_keys: DataFrame, cutoff: int, way: str) -> DataFrame:
+    """Distinct (key_text, lookup_key) pairs that share a gram and pass the native bounds."""
+    mine, theirs = _sides(main_keys, cutoff)[way], _sides(lookup_keys, cutoff)[way]
+
+    def meet(many: DataFrame, few: DataFrame, main_is_short: bool) -> DataFrame:
+        few = few.select("key", *[F.col(c).alias(f"r_{c}") for c in ("key_text", "pos", "len", *BAGS)])
+        joined = salted_join(many, few, "key_text")
+        ours = {c: F.col(c) for c in ("pos", "len", *BAGS)}
+        other = {c: F.col(f"r_{c}") for c in ("pos", "len", *BAGS)}
+        short, long = (ours, other) if main_is_short else (other, ours)
+        if way == "ratio":
+            shift = long["pos"] - short["pos"]
+            apart = bag_distance(short["parity"], long["parity"])
+            fits = ratio_compatible(short["len"], long["len"], shift, shift, cutoff) & (
+                100 * apart <= (100 - cutoff) * (short["len"] + long["len"])
+            )
+        else:
+            # A winning window covers all but 2/7 of the shorter text, at 90 all of it.
+            lacking = bag_excess(short["mask"], long["mask"])
+            covered = lacking == 0 if cutoff >= 90 else 7 * lacking <= 2 * short["len"]
+            fits = (2 * long["len"] >= 3 * short["len"]) & (long["len"] <= 8 * short["len"]) & covered
+        return joined.where(fits).select("key_text", F.col("r_key_text").alias("lookup_key"))
+
+    # Each side publishes its rarest grams, as counted on the other side.
+    main_short = rarest_grams(mine[0], theirs[1], "key_text")
+    lookup_short = rarest_grams(theirs[0], mine[1], "key_text")
+    pairs = meet(main_short, theirs[1], True).unionByName(meet(mine[1], lookup_short, False))
+    return pairs.distinct().repartition(shuffle_partitions(main_keys), "key_text", "lookup_key")
 
 
 def scored_candidates(main_keys: DataFrame, lookup_keys: DataFrame, cutoff: int) -> DataFrame:
     """(key_text, lookup_key, score) for every pair with a score of at least ``cutoff``.
 
-    Keys hold no white space, so the token forms of the score never win.
+    Keys hold no white space, so the token forms of the score never win.  A pair
+    may appear twice, once for each part of the score.
     """
-    left = _pair_members(main_keys, cutoff)
-    right = _pair_members(lookup_keys, cutoff).select(
-        "key", "ratio", F.col("role").alias("r_role"), F.col("pos").alias("r_pos"),
-        F.col("len").alias("r_len"), F.col("key_text").alias("lookup_key"),
-    )
-    short = F.col("role") == "S"
-    s_len = F.when(short, F.col("len")).otherwise(F.col("r_len"))
-    l_len = F.when(short, F.col("r_len")).otherwise(F.col("len"))
-    close = ratio_compatible(
-        s_len, l_len,
-        F.when(short, F.col("pos")).otherwise(F.col("r_pos")),
-        F.when(short, F.col("r_pos")).otherwise(F.col("pos")),
-        cutoff,
-    )
-    # A window needs 5/7 of the shorter string at cutoff 75, and more above it.
-    windowed = (2 * l_len >= 3 * s_len) & (l_len <= 8 * s_len)
-    pairs = (
-        left.join(right, ["key", "ratio"])
-        .where((F.col("role") != F.col("r_role")) & F.when(F.col("ratio"), close).otherwise(windowed))
-        .select("key_text", "lookup_key")
-        .distinct()
-    )
+    main_keys, lookup_keys = with_letter_bag(main_keys, "key_text"), with_letter_bag(lookup_keys, "key_text")
     a, b = F.col("key_text"), F.col("lookup_key")
-    la, lb = F.length(a), F.length(b)
-    shorter = F.when(la <= lb, a).otherwise(b)
-    longer = F.when(la <= lb, b).otherwise(a)
-    s, l = F.least(la, lb), F.greatest(la, lb)
-    total = la + lb
-    allowed = F.floor(total * (100 - cutoff) / 100).cast("int")
-    # Native bounds: Levenshtein never exceeds the indel distance, and a winning
-    # window leaves at most 2/7 of the shorter string unmatched.
-    ratio_open = F.levenshtein(a, b) <= allowed
-    window_open = (2 * l >= 3 * s) & (l <= 8 * s) & (
-        F.levenshtein(a, b) <= F.floor(l - 3 * s / 7).cast("int")
+    total = F.length(a) + F.length(b)
+    allowed = F.floor(total * (100 - cutoff) / 100)
+    by_ratio = (
+        _meetings(main_keys, lookup_keys, cutoff, "ratio")
+        .where(similarity.no_farther(a, b, allowed))
+        .withColumn("distance", total - 2 * similarity.lcs_length(a, b))
+        .where(F.col("distance") <= allowed)
+        .select("key_text", "lookup_key", ((1 - F.col("distance") / total) * 100).alias("score"))
     )
-    scored = (
-        pairs.select(
-            "*",
-            F.when(ratio_open, a).alias("x"), F.when(ratio_open, b).alias("y"),
-            F.when(window_open, shorter).alias("p"), F.when(window_open, longer).alias("q"),
-        )
-        .where("x is not null or p is not null")
-        .withColumn("lcs", similarity.lcs_length(F.col("x"), F.col("y")))
-        .withColumn("partial", similarity.partial_ratio(F.col("p"), F.col("q")))
+    main_shorter = F.length(a) <= F.length(b)
+    windows = _meetings(main_keys, lookup_keys, cutoff, "window").select(
+        "key_text", "lookup_key",
+        F.when(main_shorter, a).otherwise(b).alias("short"), F.when(main_shorter, b).otherwise(a).alias("long"),
     )
-    distance = total - 2 * F.col("lcs")
-    plain = F.when(distance * 100 <= total * (100 - cutoff), (1 - distance / total) * 100)
-    # A hair under the cutoff: equal fractions may differ in the last bit.
-    windows = F.when(F.col("partial") * 0.9 >= cutoff - 1e-9, F.col("partial") * 0.9)
-    return scored.select(
-        "key_text", "lookup_key", F.greatest(plain, windows).alias("score")
-    ).where("score is not null")
+    if cutoff >= 90:
+        by_window = windows.where(F.contains("long", "short")).select(
+            "key_text", "lookup_key", F.lit(90.0).alias("score")
+        )
+    else:
+        # The best window leaves at most 2/7 of the shorter text unmatched.
+        reachable = F.floor(F.length("long") - 3 * F.length("short") / 7)
+        score = F.col("partial") * 0.9
+        by_window = (
+            windows.where(similarity.no_farther(F.col("short"), F.col("long"), reachable))
+            .withColumn("partial", similarity.partial_ratio(F.col("short"), F.col("long")))
+            # A hair under the cutoff: equal fractions may differ in the last bit.
+            .where(score >= cutoff - 1e-9)
+            .select("key_text", "lookup_key", score.alias("score"))
+        )
+    return by_ratio.unionByName(by_window)
 
 
 def fuzzy_key_map(main_keys: DataFrame, lookup_keys: DataFrame) -> DataFrame:
