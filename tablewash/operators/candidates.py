@@ -156,13 +156,15 @@ def gram_members(
     if not positions:
         published, all_grams = _without_positions(published), _without_positions(all_grams)
 
-    def rows(found: Column, *more: Column) -> DataFrame:
-        return df.select("*", F.explode(found).alias("_g"), n.alias("len"), *more).withColumns({
+    # Per-text values come first: beside an explode they would be worked out per gram.
+    base = df.withColumns({"len": n, "limit": limit, "weight": F.lit(1)})
+
+    def rows(found: Column) -> DataFrame:
+        return base.select("*", F.explode(found).alias("_g")).withColumns({
             "key": F.xxhash64(F.lit(tag), F.col("_g.gram")), "pos": F.col("_g.pos")
         }).drop("_g")
 
-    short = rows(published, limit.alias("limit")).withColumn("weight", F.lit(1))
-    return short, rows(all_grams)
+    return rows(published), rows(all_grams).drop("limit", "weight")
 
 
 def rarest_grams(short: DataFrame, long: DataFrame, owner: str) -> DataFrame:
@@ -266,8 +268,8 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salted_join(many: DataFrame, few: DataFrame, spread: str) -> DataFrame:
-    """Join two gram tables on ``key``, with the rows of hot keys spread over salts.
+def salted_join(many: DataFrame, few: DataFrame, spread: str, *also: str) -> DataFrame:
+    """Join two gram tables on ``key`` and the columns ``also``, with the rows of hot keys spread over salts.
 
     Rows of ``many`` take a salt by the hash of ``spread``; rows of ``few`` under
     a hot key are repeated for each of its salts.  The partition number is
@@ -283,4 +285,4 @@ def salted_join(many: DataFrame, few: DataFrame, spread: str) -> DataFrame:
     left = many.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
     right = few.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     left = left.drop("salts").repartition(shuffle_partitions(many), "key", "salt")
-    return left.join(right.drop("salts"), ["key", "salt"])
+    return left.join(right.drop("salts"), ["key", "salt", *also])

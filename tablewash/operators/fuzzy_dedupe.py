@@ -58,11 +58,13 @@ def _word_members(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     With the unshared words at most (U - 10) / 10 letters long, U the length of
     the shorter list, words with more letters than that include a shared one.
     """
-    entries = words.select(
-        "id", "len", "total", "several", *BAGS, F.explode(F.array_distinct("words")).alias("word")
-    ).select("id", "len", "several", *BAGS, F.xxhash64(F.lit("w"), "word").alias("key"), F.lit(0).alias("pos"),
-             F.length("word").alias("weight"),
-             F.greatest(F.floor((F.col("total") - 10) / 10), F.lit(0)).cast("int").alias("limit"))
+    limit = F.greatest(F.floor((F.col("total") - 10) / 10), F.lit(0)).cast("int")
+    entries = words.withColumn("limit", limit).select(
+        "id", "len", "several", "limit", *BAGS, F.explode(F.array_distinct("words")).alias("word")
+    ).select(
+        "id", "len", "several", "limit", *BAGS, F.length("word").alias("weight"),
+        F.xxhash64(F.lit("w"), "word").alias("key"), F.lit(0).alias("pos"),
+    )
     return entries, entries.drop("weight", "limit")
 
 
@@ -97,22 +99,19 @@ def _piece_members(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = F.lit(1)
     for spare, q in [(0, 2), (0, 3), (0, MAX_GRAM), (1, 3), (1, MAX_GRAM)]:
         size = F.when(count(q) > allowed + spare, F.lit(q)).otherwise(size)
-    sized = words.withColumn("size", size)
+    sized = words.withColumns({"size": size, "limit": allowed})
     published = F.array().cast("array<string>")
     for q in range(1, MAX_GRAM + 1):
         published = F.when(F.col("size") == q, parts(q, q)).otherwise(published)
     every = F.flatten(F.array(*[F.array_distinct(parts(q, 1)) for q in range(1, MAX_GRAM + 1)]))
 
-    def rows(found: Column, *more: Column) -> DataFrame:
-        return sized.select("id", "len", "several", *BAGS, F.explode(found).alias("gram"), *more).select(
-            "id", "len", "several", *BAGS, F.xxhash64(F.lit("p"), "gram").alias("key"), F.lit(0).alias("pos"),
-            *[c for c in ("weight", "limit") if more],
+    def rows(found: Column) -> DataFrame:
+        return sized.select("id", "len", "several", "limit", *BAGS, F.explode(found).alias("gram")).select(
+            "id", "len", "several", "limit", *BAGS, F.lit(1).alias("weight"),
+            F.xxhash64(F.lit("p"), "gram").alias("key"), F.lit(0).alias("pos"),
         )
 
-    return (
-        rows(published, F.lit(1).alias("weight"), allowed.alias("limit")),
-        rows(every),
-    )
+    return rows(published), rows(every).drop("limit", "weight")
 
 
 def _split_by_word_count(short: DataFrame, long: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +128,6 @@ def _split_by_word_count(short: DataFrame, long: DataFrame) -> tuple[DataFrame,
 
 def _members(values: DataFrame) -> DataFrame:
     """(key, kind, role, id, pos, len) rows on which values meet."""
-    values = with_letter_bag(values, "value")
     texts = values.select("id", "value", *BAGS)
     # A repeated word counts once in one of the word tests: no bag speaks for both.
     once = F.size("words") == F.size(F.array_distinct("words"))
@@ -167,15 +165,22 @@ def _leaders(members: DataFrame, window: int) -> DataFrame:
         .where(F.col("rank") <= window + 1)
         .withColumn("rank", F.row_number().over(second))
         .where(F.col("rank") <= window + 1)
+        .withColumn("beyond", F.col("rank") > window)
+        .withColumn("other", F.when(F.col("role") == "S", "L").otherwise("S"))
+        # A leader meets the other role; the first one outside the window marks both.
+        .select("*", F.explode(
+            F.when(F.col("beyond"), F.array("role", "other")).otherwise(F.array("other"))
+        ).alias("meets"))
         .select(
             "key",
+            F.col("meets").alias("role"),
             F.col("role").alias("l_role"),
             F.col("id").alias("l_id"),
             F.col("len").alias("l_len"),
             "l_low",
             "l_high",
             *[F.col(c).alias(f"l_{c}") for c in BAGS],
-            (F.col("rank") > window).alias("beyond"),
+            "beyond",
         )
     )
 
@@ -202,7 +207,8 @@ def _plausible() -> Column:
         .when(F.col("kind") == CONTAINED, (2 * l_len >= 3 * s_len) & (l_len <= 8 * s_len) & (lacking == 0))
         # A list without words of its own counts one separator more.
         .when(F.col("kind") == PIECES, near & F.coalesce(19 * apart <= total + 2, F.lit(True)))
-        .otherwise(near)
+        # Unshared letters of the shorter list are at most a tenth of it.
+        .otherwise(near & F.coalesce(10 * lacking <= F.greatest(s_len - 10, F.lit(0)), F.lit(True)))
     )
 
 
@@ -303,9 +309,9 @@ def _settle(state: DataFrame, edges: DataFrame) -> DataFrame:
 def greedy_first_values(values: DataFrame, window: int = FIRST_WINDOW) -> DataFrame:
     """Ids of the kept values; ``values`` has a unique, ordered ``id`` and a ``value``."""
     words = similarity.tokens(F.col("value"))
-    values = values.select("id", "value", F.array_sort(words).alias("words"))
+    values = with_letter_bag(values, "value").select("id", "value", *BAGS, F.array_sort(words).alias("words"))
     values = cut(values.select(
-        "id", "value", "words",
+        "id", "value", "words", *BAGS,
         similarity.joined(F.col("words")).alias("sorted"),
         similarity.letters(F.col("value")).alias("letters"),
         similarity.letters(similarity.joined(F.array_distinct("words"))).alias("set_letters"),
@@ -315,15 +321,11 @@ def greedy_first_values(values: DataFrame, window: int = FIRST_WINDOW) -> DataFr
     kept = []
     while True:
         leaders = _leaders(members, window)
-        met = salted_join(members, leaders, "id").where(
-            F.when(
-                F.col("beyond"),
-                # Own frontier reached, or an earlier partner left outside the window.
-                ((F.col("role") == F.col("l_role")) & (F.col("l_id") <= F.col("id")))
-                | ((F.col("role") != F.col("l_role")) & (F.col("l_id") < F.col("id"))),
-            ).otherwise(
-                (F.col("role") != F.col("l_role")) & (F.col("l_id") < F.col("id")) & _plausible()
-            )
+        earlier = F.col("l_id") < F.col("id")
+        own_frontier = (F.col("role") == F.col("l_role")) & (F.col("l_id") == F.col("id"))
+        # Outside the window itself, or with partners there that come earlier: not yet decidable.
+        met = salted_join(members, leaders, "id", "role").where(
+            F.when(F.col("beyond"), earlier | own_frontier).otherwise(earlier & _plausible())
         )
         met = cut(
             met.select(
