@@ -2,12 +2,13 @@
 
 Every accepted shape is rewritten by one regular expression to the ISO layout
 ``y-M-d time``, which Spark then casts.  A failing cast returns NULL without
-raising, so rows in a foreign shape cost no exceptions, and everything stays in
-generated code.
+raising, so rows in a foreign shape cost no exceptions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,9 +55,13 @@ def _full_year(text: Column, year: Column, reference_year: int) -> Column:
     )
 
 
-def iso_layout(c: Column, reference_year: int = 2026) -> Column:
-    """Rewrite a recognised date text to ``y-M-d time``; NULL for any other shape."""
-    s = strip(c)
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def iso_layout(s: Column, reference_year: int = 2026) -> Column:
+    """Rewrite a stripped date text to ``y-M-d time``; NULL for an unknown shape."""
 
     def month_name(pattern: str, group: int, layout: str) -> Column:
         name = F.lower(F.substring(F.regexp_extract(s, pattern, group), 1, 3))
@@ -124,6 +129,8 @@ def parse_date_mixed(c: Column, reference_year: int = 2026) -> Column:
     swapped.  Two-digit years at least fifty years past ``reference_year`` fall
     in the century before.  A text that holds only a time is NULL.
     """
-    iso = iso_layout(c, reference_year)
-    swapped = F.regexp_replace(iso, r"^([0-9]+)-([0-9]+)-([0-9]+)", "$1-$3-$2")
-    return F.coalesce(_to_timestamp(iso), _to_timestamp(swapped))
+    def read(iso: Column) -> Column:
+        swapped = F.regexp_replace(iso, r"^([0-9]+)-([0-9]+)-([0-9]+)", "$1-$3-$2")
+        return F.coalesce(_to_timestamp(iso), _to_timestamp(swapped))
+
+    return _bind(strip(c), lambda s: _bind(iso_layout(s, reference_year), read))

@@ -48,7 +48,7 @@ def test_masks_keep_little(samples):
 def test_row_wise_steps_run_on_a_stream(spark, tmp_path):
     source = "/root/testdata/sf0.001/events.parquet"
     extra = {
-        "E-mail": F.expr("'U' || event_id || '@@x.org'"), "Price": F.expr("'$' || event_id || ',500'"),
+        "Email": F.expr("'U' || event_id || '@@x.org'"), "Price": F.expr("'$' || event_id || ',500'"),
         "Day": F.date_format("ts", "dd/MM/yyyy"),
     }
     (tmp_path / "in").mkdir()
@@ -65,8 +65,8 @@ def test_row_wise_steps_run_on_a_stream(spark, tmp_path):
     query.stop()
     rows = spark.table("washed")
     assert rows.count() == batch.count()
-    first = rows.where("event_id = 7").select("e_mail", "price", "day").first()
-    assert first["e_mail"] == "u7@x.org" and first["price"] == 7500.0 and first["day"].year == 2024
+    first = rows.where("event_id = 7").select("email", "price", "day").first()
+    assert first["email"] == "u7@x.org" and first["price"] == 7500.0 and first["day"].year == 2024
     with pytest.raises(ValueError, match="one row"):
         clean_stream(stream, CleaningConfig(remove_duplicates=True), like=batch)
 
