@@ -28,6 +28,14 @@ from tablewash.operators.headers import ROW_ID
 from tablewash.operators.lookup import MATCHED, match_count
 from tablewash.operators.ordering import head, with_row_id, without_row_id
 
+try:
+    import corpus_pipeline
+    from tablewash.llm import queries as llm
+except ModuleNotFoundError as missing:  # these parts may be left out as a whole
+    if missing.name not in ("corpus_pipeline", "tablewash.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Texts of messy columns; ``{k}`` is the integer key of the table.
@@ -349,6 +357,7 @@ def queries() -> dict[str, Query]:
         "csv_repair": csv_repair,
         "clean_table": clean_table,
         "clean_log": clean_log,
+        **({"pipeline": corpus_pipeline.run, **llm.QUERIES} if llm else {}),
     }
 
 
@@ -536,4 +545,5 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 2, 'renamed', 1 UNION ALL SELECT 5, 'money', 1
             UNION ALL SELECT 6, 'duplicates', count(*) FILTER (rn > 1) FROM j
             UNION ALL SELECT 7, 'masked', 3) WHERE n > 0 OR action = 'merged'""",
+        **(llm.ORACLE_SQL if llm else {}),
     }
