@@ -9,36 +9,31 @@ from .store import forget, written
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """``labels`` (node, label) with the smallest label that each node reaches over ``edges`` (a, b).
+    """``labels`` (node, label) after the nodes at both ends of each of the ``edges`` (a, b) are put together.
 
-    Each round takes the smallest label among the neighbours and then that label's
-    own label, so chains shorten by half or better.  A node without an edge keeps its
-    label; labels must be unique per node at the start.  Nothing goes to the driver
-    but the number of changed labels.
+    A component takes the smallest label in it; nodes that share a label at the start are
+    one component already.  The graph is contracted to labels first.  Each round takes the
+    smallest label among the neighbours and then that label's own label, so chains shorten
+    by half or better.  Only whether anything changed goes to the driver.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = written(both, "edges")
-    now = written(labels.select("node", "label", F.col("label").alias("name")), "labels")
-    touched = both.select(F.col("a").alias("node")).distinct()
-    rest = now.join(touched, "node", "left_anti").select("node", "label")
-    now, all_labels = written(now.join(touched, "node"), "labels"), now
+    ends = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a") \
+        .join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").where("x <> y")
+    both = written(ends.select("x", "y").union(ends.select("y", "x")).distinct(), "edges")
+    now = written(both.select(F.col("x").alias("node"), F.col("x").alias("label")).distinct(), "labels")
     while True:
-        near = both.join(now.select(F.col("node").alias("b"), F.col("label").alias("near")), "b")
-        near = near.groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        step = now.join(near, "node").select(
-            "node", "name", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = written(step, "labels")
-        jump = step.select(F.col("name").alias("label"), F.col("label").alias("further"))
-        after = step.join(jump, "label", "left").select(
-            "node", "name", F.col("old"), F.least("label", "further").alias("label"))
-        after = written(after, "labels")
+        near = both.join(now.select(F.col("node").alias("y"), F.col("label").alias("near")), "y")
+        near = near.groupBy(F.col("x").alias("node")).agg(F.min("near").alias("near"))
+        step = written(now.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
+        jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        after = written(step.join(jump, "label").select("node", "old", F.col("further").alias("label")), "labels")
         changed = after.where("label < old").limit(1).count()
         forget(now)
         forget(step)
         now = after.drop("old")
         if not changed:
-            out = written(rest.unionByName(now.select("node", "label")), "labels")
-            forget(all_labels)
+            found = now.select(F.col("node").alias("label"), F.col("label").alias("root"))
+            out = labels.join(found, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+            out = written(out, "labels")
             forget(after)
             forget(both)
             return out
