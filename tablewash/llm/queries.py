@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
+from .quality import quality
 from .suffix import remove_repeats
 
 
@@ -23,9 +24,14 @@ def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
+    "op8_quality_outliers": op8_quality_outliers,
 }
 
 ORACLE_SQL: dict[str, str] = {}
