@@ -8,7 +8,8 @@ the step goes against it, so a flexible model cannot push it below zero.
 The model is fitted with numpy on at most about ``max_positives`` and ``max_unlabelled``
 texts, drawn by a hash of the text; the class prior is the toxic share of all labelled
 training rows, and scoring covers every text.  The vocabulary is the words of the sample
-that occur in ``min_texts`` of its texts or more.
+that occur in ``min_texts`` of its texts or more and whose log ratio between positives and
+unlabelled texts is ``contrast`` standard errors or more from 0.
 
 Defined cases: a NULL or blank text has no words and gets the score of the bias alone; a
 row without an id is held out, as no label names it; where labels repeat, a row counts as
@@ -75,14 +76,21 @@ def scorer(model: Model):
 
 
 def fit(
-    sets: list[np.ndarray], toxic: np.ndarray, prior: float, min_texts: int = 5,
+    sets: list[np.ndarray], toxic: np.ndarray, prior: float, min_texts: int = 5, contrast: float = 3.0,
     epochs: int = 300, rate: float = 0.05, decay: float = 2e-4,
 ) -> Model:
     """Minimise the non-negative risk with the logistic loss, by Adam on all rows of the sample."""
     words, counts = np.unique(np.concatenate(sets), return_counts=True)
-    vocabulary = words[counts >= min_texts]
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    row, word = text_word_sets(np.concatenate(sets), np.searchsorted(row, np.arange(len(sets) + 1)), vocabulary)
+    words = words[counts >= min_texts]
+    begins = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    row, word = text_word_sets(np.concatenate(sets), begins, words)
+    # Words about as frequent in both parts carry no risk gradient but noise: they are left out.
+    in_p = np.bincount(word[toxic[row]], minlength=len(words)) + 0.5
+    in_u = np.bincount(word[~toxic[row]], minlength=len(words)) + 0.5
+    ratio = np.log(in_p / toxic.sum()) - np.log(in_u / (~toxic).sum())
+    chosen = np.abs(ratio) >= contrast * np.sqrt(1 / in_p + 1 / in_u)
+    vocabulary = words[chosen]
+    row, word = text_word_sets(np.concatenate(sets), begins, vocabulary)
     n, size = len(sets), len(vocabulary)
     weights, momentum, square = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     weights[-1] = np.log(prior / (1 - prior))
