@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import mark_repeated_chunks
 from .extraction import extract_text, learn_weights
 from .licenses import scan_licenses
 from .minhash import near_duplicates
@@ -47,6 +48,10 @@ def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_repeated_chunks(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op4_main_text": op4_main_text,
     "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
     "op8_quality_outliers": op8_quality_outliers,
+    "op9_chunk_dedup": op9_chunk_dedup,
     "op10_license_scan": op10_license_scan,
 }
 
