@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import mark_repeated_chunks
+from .decontamination import find_contamination
 from .extraction import extract_text, learn_weights
 from .licenses import scan_licenses
 from .minhash import near_duplicates
@@ -44,6 +45,11 @@ def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item found in it; clean documents have none."""
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op3_toxicity_scores": op3_toxicity_scores,
     "op4_main_text": op4_main_text,
     "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_quality_outliers": op8_quality_outliers,
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_license_scan": op10_license_scan,
