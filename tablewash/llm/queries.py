@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +11,14 @@ from .decontamination import find_contamination
 from .extraction import extract_text, learn_weights
 from .licenses import scan_licenses
 from .minhash import near_duplicates
+from .pieces import encode_texts
 from .quality import quality
 from .suffix import remove_repeats
 from .toxicity import score_toxicity, train
 from .warc import archive_and_deduplicate
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,6 +54,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), model).select(
+        "doc_id", "n_pieces", "scores", F.get("digests", F.lit(0)).alias("ids_sha256"), "digests", "decoded_equal")
+
+
 def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -69,6 +78,7 @@ QUERIES = {
     "op4_main_text": op4_main_text,
     "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_sentence_pieces": op7_sentence_pieces,
     "op8_quality_outliers": op8_quality_outliers,
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_license_scan": op10_license_scan,
