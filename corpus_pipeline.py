@@ -1,29 +1,69 @@
-"""A training corpus from ``documents``: five stages, each over all that the one before kept."""
+"""A training corpus from ``documents``: five stages, each over all that the one before kept.
+
+Rows are told apart by ``doc_id``: a row without one is left out by the first stage, and of
+rows that repeat an id one stays.  Extra columns are carried along to the last stage.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewash.llm.decontamination import find_contamination
 from tablewash.llm.minhash import near_duplicates
+from tablewash.llm.pieces import encode_texts
+from tablewash.llm.quality import quality
 from tablewash.llm.store import written
+from tablewash.llm.suffix import remove_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def keep_good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or are outliers of their language and source go."""
+    good = quality(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.dropDuplicates(["doc_id"]).join(good, "doc_id", "left_semi").select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """Of each group of near duplicates the document with the smallest id stays."""
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every byte in a string of 400 bytes that stands anywhere else too is removed; all documents stay."""
+    left = remove_repeats(docs).select("doc_id", F.col("kept_text").alias("text"))
+    out = docs.drop("text").join(left, "doc_id")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of the best segmentation of each text, scores of the N best, and whether decoding gives the text back."""
+    return encode_texts(docs, PIECES).select("doc_id", "n_pieces", "scores", "digests", "decoded_equal", "ids")
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", keep_good_texts),
     ("minhash_near_dedup", keep_one_of_each_group),
+    ("suffix_array_dedup", remove_repeated_passages),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("sentence_pieces", encode_pieces),
 ]
 
-# The sketches, the suffix order and the piece lattice cannot be written in SQL.
+# The estimates, the sketches, the suffix order, the walks and the piece lattice cannot be written in SQL.
 ORACLE_SQL = None
 
 
