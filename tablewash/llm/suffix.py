@@ -293,23 +293,24 @@ def remover(length: int):
             np.add.at(change, repeats, 1)
             np.add.at(change, repeats + length, -1)
             gone = np.cumsum(change[:-1]) > 0
-            out: dict[str, list] = {"n_bytes": [], "starts": [], "ends": [], "kept": []}
+            out: dict[str, list] = {"n_bytes": [], "starts": [], "ends": [], "kept_text": [], "kept_sha256": []}
             for b, e in zip(np.concatenate([[0], shard.ends[:-1]]), shard.ends, strict=True):
                 own = np.diff(np.concatenate([[0], gone[b:e].astype(np.int8), [0]]))
                 out["n_bytes"].append(int(e - b))
                 out["starts"].append(np.flatnonzero(own == 1))
                 out["ends"].append(np.flatnonzero(own == -1))
-                out["kept"].append(shard.data[b:e][~gone[b:e]].tobytes())
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+                kept = shard.data[b:e][~gone[b:e]].tobytes()
+                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                out["kept_text"].append(kept.decode("utf-8", "ignore"))
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard.ids, pa.int64()), *[pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)],
-                 pa.array([hashlib.sha256(x).hexdigest() for x in out["kept"]])],
-                ["id", *out, "kept_sha256"])
+                [pa.array(shard.ids, pa.int64()), *[pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]], ["id", *out])
     return run
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 400) -> DataFrame:
-    """Per row: the id, ``n_bytes``, ``starts`` and ``ends`` of the removed byte runs, ``kept`` bytes and their SHA-256.
+    """Per row: the id, ``n_bytes``, ``starts`` and ``ends`` of the removed byte runs, the SHA-256 of the bytes that
+    are left, and these as ``kept_text`` (without the bytes of a character that was cut).
 
     ``length`` must be 400 or more for the guarantee of :data:`ROUNDS` phrases to hold.
     """
@@ -342,7 +343,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         steps.append(written(said, "answers"))
         answers = steps[-1] if answers is None else answers.unionByName(steps[-1])
     out = with_answers("text").mapInArrow(
-        remover(length), "id bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary, kept_sha256 string")
+        remover(length), "id bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept_text string, kept_sha256 string")
     out = written(out.withColumnRenamed("id", id_column), "repeats")
     spark.sql(f"DROP TABLE {name}")
     for step in steps:
