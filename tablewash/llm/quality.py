@@ -28,17 +28,18 @@ WINDOW = 8
 STATISTICS = {
     "log(1D + n_words)": 0.5,
     "log((word_chars + 1D) / (n_words + 1D))": 0.10,
-    "sqrt(n_symbols / (n_words + 1D))": 0.15,
-    "sqrt(n_dup_lines / (n_lines + 1D))": 0.15,
-    "sqrt(n_repeat_words / (n_words + 1D))": 0.15,
+    "sqrt(n_symbols / (n_words + 1D))": 0.12,
+    "sqrt(n_dup_lines / (n_lines + 1D))": 0.20,
+    "sqrt(n_repeat_words / (n_words + 1D))": 0.20,
 }
 P = len(STATISTICS)
 COVERAGE = 0.75
 MIN_GROUP = 100
 STEPS = 5
-# Chi-square with 5 degrees of freedom: the median, and the quantile at 1 in 1e9.
+BROADCAST_GROUPS = 50_000
+# Chi-square with 5 degrees of freedom: the median, and a distance beyond which 1.4 in 10,000 lie.
 MEDIAN = 4.3515
-CUTOFF = 50.0
+CUTOFF = 25.0
 
 
 def text_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -74,7 +75,7 @@ def text_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return df.drop("_text", "_words", "_lines", "_hashes", "_windows", "_repeats", "_sorted", "_at")
 
 
-def _distance(group: str = "") -> Column:
+def _distance() -> list[Column]:
     """Squared Mahalanobis distance by a Cholesky factor ``l_i_j`` and a centre ``m_i`` on the same row."""
     y: list[Column] = []
     for i in range(P):
@@ -118,11 +119,16 @@ def first_estimate(rows: DataFrame) -> DataFrame:
     return with_factor(out.drop(*[f"q_{i}" for i in range(P)]))
 
 
-def concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+def by_group(rows: DataFrame, values: DataFrame, n_groups: int) -> DataFrame:
+    """``rows`` with their group's values; up to so many groups the values are sent to the rows, so a hot group is not moved."""
+    return rows.join(F.broadcast(values) if n_groups <= BROADCAST_GROUPS else values, "grp")
+
+
+def concentrate(rows: DataFrame, estimate: DataFrame, n_groups: int) -> DataFrame:
     """One step: mean and covariance of the rows with the smallest distances."""
-    placed = with_distance(rows.join(estimate, "grp")).select("grp", "d2", *[f"x_{i}" for i in range(P)])
+    placed = with_distance(by_group(rows, estimate, n_groups)).select("grp", "d2", *[f"x_{i}" for i in range(P)])
     bound = placed.groupBy("grp").agg(F.percentile_approx("d2", COVERAGE, 1000).alias("bound"))
-    near = placed.join(bound, "grp").where("d2 <= bound")
+    near = by_group(placed, bound, n_groups).where("d2 <= bound")
     moments = near.groupBy("grp").agg(
         F.count("*").alias("n"), *[F.avg(f"x_{i}").alias(f"m_{i}") for i in range(P)],
         *[F.covar_pop(f"x_{i}", f"x_{j}").alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)])
@@ -134,11 +140,12 @@ def concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 def robust_estimates(rows: DataFrame) -> DataFrame:
     """The last estimate of each group ``grp`` of ``rows`` (x_0, ...) with its ``scale``."""
     estimate = written(first_estimate(rows), "estimate")
+    n_groups = estimate.count()
     for _ in range(STEPS):
-        after = written(concentrate(rows, estimate), "estimate")
+        after = written(concentrate(rows, estimate, n_groups), "estimate")
         forget(estimate)
         estimate = after
-    placed = with_distance(rows.join(estimate, "grp"))
+    placed = with_distance(by_group(rows, estimate, n_groups))
     scale = placed.groupBy("grp").agg((F.percentile_approx("d2", 0.5, 1000) / MEDIAN).alias("scale"))
     # Floors make small groups look tighter than the law: distances are never blown up, only shrunk.
     return estimate.join(scale.select("grp", F.greatest("scale", F.lit(1.0)).alias("scale")), "grp")
