@@ -40,6 +40,7 @@ from .store import forget, written
 WINDOW, GRAM = 64, 8
 ROUNDS = 3
 SHARD_BYTES = 2 << 20
+TABLE_BYTES = 32 << 20
 IDS_PER_BUCKET = 1 << 20
 STATE = "shard bigint, ids array<bigint>, ends binary, text binary, bwt binary, lf binary, at binary"
 
@@ -318,8 +319,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         raise ValueError("strings shorter than 400 bytes need not hold enough phrases")
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
-    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n_tables = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // (32 << 20), 1 << 16))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_tables = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TABLE_BYTES)
     name = f"suffix_{uuid.uuid4().hex}"
     # Bucketed by shard: each round reads only the columns it needs and joins the answers without moving a shard.
     texts.mapInArrow(shard_rows, STATE).write.bucketBy(n_tables, "shard").option("compression", "zstd").saveAsTable(name)
