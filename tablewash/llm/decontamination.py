@@ -38,6 +38,7 @@ from .store import forget, written
 
 SAMPLES, REPEATS = 2, 40
 PUSHED_GRAMS = 4_000_000
+WINDOWS = 16_384  # windows that walk together
 
 
 def edits_allowed(n: int, share: float) -> int:
@@ -107,44 +108,64 @@ def seeder(sizes: list[int], pushed: np.ndarray | None, least: int):
     return run
 
 
-def walks(windows: np.ndarray, steps: int, repeat: int) -> np.ndarray:
-    """The CGK embedding of word windows (rows; 0 is the end): what the walk reads at each step."""
-    at, rows = np.zeros(len(windows), np.int64), np.arange(len(windows))
-    out = np.zeros((len(windows), steps), np.uint64)
-    padded = np.concatenate([windows, np.zeros((len(windows), 1), np.uint64)], axis=1)
-    for j in range(steps):
-        out[:, j] = read = padded[rows, np.minimum(at, windows.shape[1])]
-        at += (tokens.mix(read ^ np.uint64((repeat * 65_537 + j) * 2 + 1)) >> np.uint64(63)).astype(np.int64)
-    return out
+def step(words: np.ndarray, at: np.ndarray, ends: np.ndarray, repeat: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the CGK walks read at step j (0 beyond their end), and where they stand after it."""
+    read = np.where(at < ends, words[np.minimum(at, len(words) - 1)], np.uint64(0))
+    return read, at + (tokens.mix(read ^ np.uint64((repeat * 65_537 + j) * 2 + 1)) >> np.uint64(63)).astype(np.int64)
+
 
+def item_walks(items: list[np.ndarray], repeat: int) -> tuple[np.ndarray, np.ndarray]:
+    """The walk of each item (three steps a word, then 0), and how many of its steps read a word."""
+    sizes = np.array([len(i) for i in items])
+    words, at = np.concatenate(items), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    ends = at + sizes
+    out = np.zeros((len(items), 3 * int(sizes.max())), np.uint64)
+    for j in range(out.shape[1]):
+        read, at = step(words, at, ends, repeat, j)
+        out[:, j] = np.where(j < 3 * sizes, read, np.uint64(0))
+    return out, np.maximum(1, (out != 0).sum(axis=1))
 
-def colliding(windows: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Which windows agree with the item in the sampled positions of any repetition."""
-    steps = 3 * len(item)
-    both = np.concatenate([item[None], windows])
-    hit = np.zeros(len(windows), bool)
+
+def colliding(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
+    """Which windows of ``words`` agree with their item in the sampled positions of any repetition."""
+    hit = np.zeros(len(starts), bool)
     for repeat in range(REPEATS):
-        open_ = np.flatnonzero(~hit)
-        if not len(open_):
+        left = np.flatnonzero(~hit)
+        if not len(left):
             break
-        read = walks(both[np.concatenate([[0], open_ + 1])], steps, repeat)
+        walked, alive = item_walks(items, repeat)
         # Positions after the item's own walk has ended hold nothing.
-        alive = max(1, int((read[0] != 0).sum()))
-        drawn = tokens.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) + np.uint64(repeat * 1_000)) % np.uint64(alive)
-        picked = read[:, drawn.astype(np.int64)]
-        hit[open_] = (picked[1:] == picked[0]).all(axis=1)
+        drawn = tokens.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) + np.uint64(repeat * 1_000))[None] % alive[:, None].astype(np.uint64)
+        drawn = np.sort(drawn.astype(np.int64), axis=1)
+        at, done = starts[left], np.zeros(len(left), np.int64)
+        # All windows walk to the next sampled position; those that differ there go no further.
+        for k in range(SAMPLES):
+            target = drawn[owner[left], k]
+            for j in range(int(done.min(initial=0)), int(target.max(initial=0))):
+                moving = np.flatnonzero((done <= j) & (j < target))
+                at[moving] = step(words, at[moving], ends[left[moving]], repeat, j)[1]
+            same = step(words, at, ends[left], repeat, 0)[0] == walked[owner[left], target]
+            left, at, done = left[same], at[same], target[same]
+        hit[left] = True
     return hit
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
-    """Levenshtein distance of two word lists, one row of the table at a time."""
-    columns = np.arange(len(b) + 1)
-    row = columns.copy()
-    for i, word in enumerate(a, 1):
-        step = np.minimum(row + 1, i + columns)
-        step[1:] = np.minimum(step[1:], row[:-1] + (b != word))
-        row = np.minimum.accumulate(step - columns) + columns
-    return int(row[-1])
+def edit_distances(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: list[np.ndarray]) -> np.ndarray:
+    """Levenshtein distance of each window of ``words`` to its item, all tables row by row together."""
+    sizes, lens = np.array([len(i) for i in items], np.int64), ends - starts
+    columns = np.arange(sizes.max(initial=0) + 1)
+    padded = np.zeros((len(items), len(columns) - 1), np.uint64)
+    for line, item in zip(padded, items, strict=True):
+        line[:len(item)] = item
+    row = np.repeat(columns[None], len(items), axis=0)
+    out = np.where(lens == 0, sizes, 0)
+    for i in range(1, int(lens.max(initial=0)) + 1):
+        word = words[np.minimum(starts + i - 1, len(words) - 1)]
+        nxt = np.minimum(row + 1, i + columns)
+        nxt[:, 1:] = np.minimum(nxt[:, 1:], row[:, :-1] + (padded != word[:, None]))
+        row = np.minimum.accumulate(nxt - columns, axis=1) + columns
+        out = np.where(lens == i, row[np.arange(len(items)), sizes], out)
+    return out
 
 
 def window_starts(start: np.ndarray, position: np.ndarray, n_words: int, n: int, e: int, least: int) -> np.ndarray:
@@ -158,28 +179,60 @@ def window_starts(start: np.ndarray, position: np.ndarray, n_words: int, n: int,
     return near[np.searchsorted(diagonal, hi, "right") - np.searchsorted(diagonal, lo) >= least]
 
 
+def window_groups(batch: pa.RecordBatch, share: float) -> Iterator[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """(pair, item words, text words, window starts) in groups of about ``WINDOWS`` windows."""
+    group, size = [], 0
+    for i in range(batch.num_rows):
+        r = {c: batch.column(c)[i].as_py() for c in ("item_words", "words", "pairs", "least")}
+        item, words = np.frombuffer(r["item_words"], np.uint64), np.frombuffer(r["words"], np.uint64)
+        n = len(item)
+        pairs = np.array([(p["start"], p["position"]) for p in r["pairs"]], np.int64)
+        starts = window_starts(pairs[:, 0], pairs[:, 1], len(words), n, edits_allowed(n, share), r["least"])
+        for a in range(0, len(starts), WINDOWS):
+            part = starts[a:a + WINDOWS]
+            group.append((i, item, words, part))
+            size += len(part)
+            if size >= WINDOWS:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def best_windows(group: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], share: float) -> Iterator[tuple[int, int, int]]:
+    """(pair, distance, start) of the windows of a group within the allowed edits."""
+    spans = [words[starts[0]:starts[-1] + len(item)] for _, item, words, starts in group]
+    shift = np.concatenate([[0], np.cumsum([len(x) for x in spans])])
+    counts = [len(starts) for *_, starts in group]
+    owner = np.repeat(np.arange(len(group)), counts)
+    starts = np.concatenate([shift[k] + g[3] - g[3][0] for k, g in enumerate(group)])
+    items = [g[1] for g in group]
+    sizes = np.array([len(i) for i in items])
+    ends = np.minimum(starts + sizes[owner], shift[1:][owner])
+    words = np.concatenate(spans)
+    hits = np.flatnonzero(colliding(words, starts, ends, owner, items))
+    hits = hits[np.argsort(sizes[owner[hits]], kind="stable")]
+    for a in range(0, len(hits), 1024):
+        some = hits[a:a + 1024]
+        own = owner[some]
+        distances = edit_distances(words, starts[some], ends[some], [items[k] for k in own])
+        for k, s, d in zip(own.tolist(), starts[some].tolist(), distances.tolist(), strict=True):
+            if d <= edits_allowed(len(items[k]), share):
+                yield group[k][0], d, int(s - shift[k] + group[k][3][0])
+
+
 def verifier(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "id", "item_id"]
         for batch in batches:
-            best = []
-            for r in batch.to_pylist():
-                item, words = np.frombuffer(r["item_words"], np.uint64), np.frombuffer(r["words"], np.uint64)
-                n, e = len(item), edits_allowed(len(item), share)
-                pairs = np.array([(p["start"], p["position"]) for p in r["pairs"]], np.int64)
-                starts = window_starts(pairs[:, 0], pairs[:, 1], len(words), n, e, r["least"])
-                found = None
-                if len(starts):
-                    padded = np.concatenate([words, np.zeros(n, np.uint64)])
-                    windows = padded[starts[:, None] + np.arange(n)]
-                    for s in starts[colliding(windows, item)]:
-                        d = edit_distance(words[s:s + n], item)
-                        if d <= e and (found is None or d < found[1]):
-                            found = (int(s), d)
-                best.append(found)
-            keep = pa.array([b is not None for b in best], pa.bool_())
+            best: dict[int, tuple[int, int]] = {}
+            for group in window_groups(batch, share):
+                for i, *found in best_windows(group, share):
+                    best[i] = min(best.get(i, tuple(found)), tuple(found))
+            found = [best.get(i) for i in range(batch.num_rows)]
             columns = [batch.column(c) for c in names]
-            columns += [pa.array([b and b[i] for b in best], pa.int64()) for i in (0, 1)]
+            columns += [pa.array([b and b[i] for b in found], pa.int64()) for i in (1, 0)]
+            keep = pa.array([b is not None for b in found], pa.bool_())
             yield pa.RecordBatch.from_arrays([*columns, batch.column("n").cast(pa.int64())], [*names, "first_word", "distance", "item_words"]).filter(keep)
     return run
 
