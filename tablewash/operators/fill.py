@@ -141,14 +141,19 @@ def fill_numeric(df: DataFrame, method: str, exclude: Collection[str] = ()) -> D
     """Fill NULLs of numeric columns that have any.
 
     ``zero`` is a plain projection and keeps the type.  ``mean`` and ``median``
-    first run one small aggregate and turn the filled columns to DOUBLE.
+    first run one small aggregate and turn the filled columns to DOUBLE.  NaN
+    counts as NULL.
     """
     columns = [c for c in headers.numeric_columns(df) if c not in exclude]
     if not columns:
         return df
     if method == "zero":
         return df.fillna(0, subset=[f"`{c}`" for c in columns])
-    narrow = df.select(*[F.col(f"`{c}`") for c in columns])
+    value = {
+        c: F.nanvl(F.col(f"`{c}`"), F.lit(None)) if kind in ("double", "float") else F.col(f"`{c}`")
+        for c, kind in df.dtypes if c in columns
+    }
+    narrow = df.select(*[v.alias(c) for c, v in value.items()])
     stats = narrow.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)],
@@ -166,7 +171,7 @@ def fill_numeric(df: DataFrame, method: str, exclude: Collection[str] = ()) -> D
     else:
         raise ValueError(f"unknown fill method {method!r}")
     filled = {
-        c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(v))
+        c: F.coalesce(value[c].cast("double"), F.lit(v))
         for c, v in values.items() if v is not None
     }
     return df.withColumns(filled) if filled else df

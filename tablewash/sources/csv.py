@@ -10,11 +10,14 @@ from pyspark.sql import types as T
 
 from tablewash.functions import patterns as P
 from tablewash.functions.text import strip
+from tablewash.operators.checkpoints import staged
 from tablewash.operators.headers import ROW_ID
 
 BROKEN = "_broken_line"
 # A quoted field; commas inside it do not split.
 QUOTED_FIELD = r'(?<=^|,)"(?:[^"]|"")*(?:"|$)'
+# A line whose last field is quoted and still open.
+OPEN_LINE = r'^(?:(?:"(?:[^"]++|"")*+"[^,]*+|[^",][^,]*+|),)*+"(?:[^"]++|"")*+$'
 INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 NUMBER = r"(?i)^\s*[+-]?(?:[0-9]+\.?[0-9]*(?:e[+-]?[0-9]+)?|\.[0-9]+(?:e[+-]?[0-9]+)?|inf|infinity)\s*$"
 BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
@@ -118,24 +121,43 @@ def infer_aggregates(names: list[str]) -> list[Column]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def has_open_fields(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
+    """Whether any line ends inside a quoted field, so that cells hold line breaks."""
+    lines = spark.read.option("encoding", encoding).text(path)
+    return lines.where(F.col("value").contains('"') & F.col("value").rlike(OPEN_LINE)).limit(1).count() > 0
+
+
+def read_csv(
+    spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool | None = None
+) -> DataFrame:
     """Read CSV with a header line; ``_rid`` is the position in the files.
 
-    One job over the text decides the column types.  If any line has more
-    fields than the header, the whole table is read in repair mode instead: all
-    columns are strings, lines one field too long are mended where a number was
-    split at its comma, and the other broken lines are dropped.
+    The fields are parsed once and written to the shared work folder; types, row
+    ids and all later jobs read that copy, so ids do not depend on how the files
+    were split.  If any record has more fields than the header, the whole table
+    is read in repair mode instead: all columns are strings, records one field too
+    long are mended where a number was split at its comma, and the other broken
+    ones are dropped.
+
+    Cells may hold line breaks: with ``multi_line=None`` one pass over the text
+    looks for a line that ends inside a quoted field.  Such files are read one
+    task per file; without them files are split.  Where quotes at the start of
+    a field are plain text, pass ``multi_line=False``.
     """
     first = spark.read.option("encoding", encoding).text(path).limit(1).first()
     if first is None:
         raise ValueError(f"{path} is empty")
     names = header_names(first[0])
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, BROKEN]])
+    if multi_line is None:
+        multi_line = has_open_fields(spark, path, encoding)
+    stored = [f"c{i}" for i in range(len(names))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*stored, BROKEN]])
     scan = (
         spark.read.schema(schema)
         .option("header", True)
         .option("escape", '"')
         .option("encoding", encoding)
+        .option("multiLine", multi_line)
         .option("columnNameOfCorruptRecord", BROKEN)
         .option("columnPruning", False)
         .csv(path)
@@ -143,7 +165,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
     in_partition = F.monotonically_increasing_id().bitwiseAND(
         F.lit((1 << ROWS_PER_PARTITION_BITS) - 1)
     )
-    raw = scan.select(
+    parsed = scan.select(
         "*",
         F.struct(
             F.col("_metadata.file_path").alias("file"),
@@ -151,6 +173,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
             in_partition.alias("row"),
         ).alias(ROW_ID),
     )
+    raw = staged(parsed, "csv").toDF(*names, BROKEN, ROW_ID)
     n = len(names)
     facts = raw.agg(
         F.coalesce(F.bool_or(field_count(F.col(BROKEN)) > n), F.lit(False)).alias("over_long"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewash import CleaningConfig, clean, cleaned_path, compute_diff, lookup_join, read_table, write_table
 from tablewash.operators.diff import number_rows
+from tablewash.operators.fill import fill_numeric
 from tablewash.operators.lookup import match_count
 from tablewash.operators.ordering import with_row_id, without_row_id
 from tablewash.sources.csv import field_count
@@ -96,6 +97,36 @@ def test_row_ids_follow_file_order(spark, tmp_path):
     assert [r[0] for r in df.orderBy("_rid").select("n").collect()] == list(range(300))
 
 
+def test_cells_with_line_breaks(spark, tmp_path, csv_file):
+    df = read_table(spark, csv_file('id,t,n\n1,"line one\nline two",5\n2,"a ""b"", c",6\n3,"x\n\n,y",\n'))
+    assert df.dtypes[:2] == [("id", "bigint"), ("t", "string")]
+    assert rows(without_row_id(df.orderBy("_rid"))) == [(1, "line one\nline two", 5), (2, 'a "b", c', 6), (3, "x\n\n,y", None)]
+    texts = spark.createDataFrame([(i, f'part {i}\n"quoted"\r\n\tend, {i}' if i % 3 else f"plain {i}") for i in range(60)], "i long, t string")
+    write_table(texts.repartition(4), str(tmp_path / "o.csv"))
+    assert rows(without_row_id(read_table(spark, str(tmp_path / "o.csv"))), "i") == [
+        tuple(r) for r in rows(texts, "i")]
+
+
+def test_row_ids_do_not_depend_on_splits(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n\n" + "\n".join(str(k) for k in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    df = read_table(spark, str(tmp_path), "csv")
+    first = {r.n: r["_rid"] for r in df.collect()}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        assert {r.n: r["_rid"] for r in df.select("*").collect()} == first
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(first, key=first.get) == list(range(5000))
+
+
+def test_fill_counts_nan_as_missing(spark):
+    df = spark.createDataFrame([(1.0, float("nan")), (float("nan"), 1.0), (None, 2.0), (3.0, None)], "v double, kept double")
+    got = rows(fill_numeric(df, "mean", ["kept"]).select("v"))
+    assert sorted(r[0] for r in got) == [1.0, 2.0, 2.0, 3.0]
+    assert sorted(r[0] for r in rows(fill_numeric(df, "median", ["kept"]).select("v"))) == [1.0, 2.0, 2.0, 3.0]
+
+
 def test_exact_lookup(spark):
     main = spark.createDataFrame(
         [(1, "Acme-1 Co.", "x"), (2, None, "y"), (3, "--", "z"), (4, "zzz", "w")], "id long, key string, city string"
