@@ -38,8 +38,8 @@ from . import tokens
 SPACE = "▁"
 CACHE = 200_000
 LONGEST_WORD = 48
-# A literal space sign of a text on its way through the lattice; no piece has it.
-LITERAL = "￿"
+# A literal space sign of a text on its way through the lattice; no piece and no text has it.
+LITERAL = "\ud800"
 
 
 class Pieces:
