@@ -9,8 +9,8 @@ adverts, comments and the like, known by element, class, id or role.
 
 Weights are counted on at most about ``max_labelled`` pages drawn by a hash; extraction
 covers the whole html of every page.  Defined cases: NULL html and pages without words
-give an empty text; of equal sums the earliest region counts, the longer one if they begin
-alike; unclosed and stray tags are read as they stand; repeated rows give equal results.
+give an empty text; a region has no beginning that adds nothing, and of equal sums the earliest
+region counts, the longer one if they begin alike; unclosed and stray tags are read as they stand; repeated rows give equal results.
 """
 
 from __future__ import annotations

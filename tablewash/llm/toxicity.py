@@ -69,7 +69,7 @@ def scorer(model: Model):
             for piece in tokens.slices(batch, "text"):
                 text, word = text_word_sets(*text_words(*tokens.utf8(piece.column("text"))), model.vocabulary)
                 z = np.bincount(text, model.weights[word], piece.num_rows) + model.bias
-                score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                score = np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -500, 500))))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("id"), piece.column("held_out"), pa.array(score)], ["id", "held_out", "score"])
     return run
