@@ -1,7 +1,9 @@
 """A training corpus from ``documents``: five stages, each over all that the one before kept.
 
-Rows are told apart by ``doc_id``: a row without one is left out by the first stage, and of
-rows that repeat an id one stays.  Extra columns are carried along to the last stage.
+Rows are told apart by ``_row_key``, which the first stage gives to each row and writes (a column
+of that name in the input is replaced): rows without a ``doc_id`` and rows that repeat one are
+judged each on its own, and only near-dedup removes copies.  Extra columns are carried along to
+the last stage.
 """
 
 from __future__ import annotations
@@ -20,25 +22,32 @@ from tablewash.llm.store import written
 from tablewash.llm.suffix import remove_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+ROW_KEY = "_row_key"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def keep_good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are outliers of their language and source go."""
-    good = quality(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(good, "doc_id", "left_semi").select(docs.columns)
+    docs = written(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), "keyed")
+    good = quality(docs, ROW_KEY).where("kept").select(ROW_KEY)
+    return docs.join(good, ROW_KEY, "left_semi").select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    An id counts before none; of rows that share the id the smallest hash of the text decides, then the row key.
+    """
+    groups = near_duplicates(docs, ROW_KEY).select(ROW_KEY, "component_id")
+    names = docs.select(ROW_KEY, F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"))
+    first = groups.join(names, ROW_KEY).groupBy("component_id").agg(F.min(F.struct("unnamed", "doc_id", "hash", ROW_KEY)).alias("first"))
+    return docs.join(first.select(f"first.{ROW_KEY}"), ROW_KEY, "left_semi").select(docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every byte in a string of 400 bytes that stands anywhere else too is removed; all documents stay."""
-    left = remove_repeats(docs).select("doc_id", F.col("kept_text").alias("text"))
-    out = docs.drop("text").join(left, "doc_id")
+    left = remove_repeats(docs, ROW_KEY).select(ROW_KEY, F.col("kept_text").alias("text"))
+    out = docs.drop("text").join(left, ROW_KEY)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
@@ -46,8 +55,8 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ROW_KEY).select(ROW_KEY).distinct()
+    return docs.join(found, ROW_KEY, "left_anti").select(docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
