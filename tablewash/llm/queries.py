@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from .chunks import mark_repeated_chunks
 from .decontamination import find_contamination
 from .extraction import extract_text, learn_weights
 from .licenses import scan_licenses
+from .lines import drop_repeated_lines
 from .minhash import near_duplicates
 from .pieces import encode_texts
 from .quality import quality
@@ -17,7 +17,14 @@ from .suffix import remove_repeats
 from .toxicity import score_toxicity, train
 from .warc import archive_and_deduplicate
 
-PIECES = public_tokenizers.path("piece_bpe_32k.model")
+MODEL = "piece_bpe_32k.model"
+
+
+def piece_model() -> str:
+    """The path of the public model; looked up when it is used, so that no other query needs it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(MODEL)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +61,8 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
-def op7_sentence_pieces(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
-    return encode_texts(table(spark, sf_dir, "documents"), model).select(
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), model or piece_model()).select(
         "doc_id", "n_pieces", "scores", F.get("digests", F.lit(0)).alias("ids_sha256"), "digests", "decoded_equal")
 
 
@@ -71,6 +78,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_lines(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_warc_revisits": op2_warc_revisits,
@@ -82,6 +93,19 @@ QUERIES = {
     "op8_quality_outliers": op8_quality_outliers,
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_license_scan": op10_license_scan,
+    "op13_line_dedup": op13_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# White space at both ends of a line, as DuckDB's regular expressions spell it.
+_ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op13_line_dedup": f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+            generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+        k AS (SELECT *, {_LOWER.format(f"regexp_replace(line, '{_ENDS}', '', 'g')")} AS key FROM l),
+        r AS (SELECT key, max(doc_id) AS lead FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lead <> doc_id) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (lead IS NULL OR lead = doc_id), '')) AS kept_sha256
+        FROM k LEFT JOIN r USING (key) GROUP BY doc_id""",
+}

@@ -4,14 +4,14 @@ import numpy as np
 import pytest
 
 from tablewash.llm import pieces
-from tablewash.llm.queries import PIECES
+from tablewash.llm.queries import piece_model
 
 TEXTS = ["", "a", "the cat sat", "hello  world\n\tagain", "x▁y", "é😀 ￿ end", "unbelievable internationalisation", "a a a b"]
 
 
 @pytest.fixture(scope="module")
 def model():
-    return pieces.Pieces(open(PIECES, "rb").read(), 3)
+    return pieces.Pieces(open(piece_model(), "rb").read(), 3)
 
 
 def brute(p, text, n):
@@ -48,8 +48,8 @@ def test_scores_like_brute_force(model, text):
 
 
 def test_round_trip_of_a_table(small_docs, small_texts, no_docs):
-    got = pieces.encode_texts(small_docs, PIECES).collect()
+    got = pieces.encode_texts(small_docs, piece_model()).collect()
     assert len(got) == len(small_texts)
     assert all(r.decoded_equal and r.scores == sorted(r.scores, reverse=True) and len(r.ids) == r.n_pieces for r in got)
     assert all(hashlib.sha256(np.array(r.ids, np.int32).tobytes()).hexdigest() == r.digests[0] for r in got)
-    assert pieces.encode_texts(no_docs, PIECES).count() == 0
+    assert pieces.encode_texts(no_docs, piece_model()).count() == 0
