@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +17,12 @@ from tablewash.llm.decontamination import find_contamination
 from tablewash.llm.minhash import near_duplicates
 from tablewash.llm.pieces import encode_texts
 from tablewash.llm.quality import quality
+from tablewash.llm.queries import piece_model
 from tablewash.llm.store import written
 from tablewash.llm.suffix import remove_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ROW_KEY = "_row_key"
-PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def keep_good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +60,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the best segmentation of each text, scores of the N best, and whether decoding gives the text back."""
-    return encode_texts(docs, PIECES).select("doc_id", "n_pieces", "scores", "digests", "decoded_equal", "ids")
+    return encode_texts(docs, piece_model()).select("doc_id", "n_pieces", "scores", "digests", "decoded_equal", "ids")
 
 
 STAGES: list[tuple[str, Stage]] = [
