@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import mark_repeated_chunks
+from .conversations import damage_and_repair
 from .decontamination import find_contamination
+from .divergence import source_divergence
 from .extraction import extract_text, learn_weights
 from .licenses import scan_licenses
 from .lines import drop_repeated_lines
@@ -78,6 +80,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -93,6 +103,8 @@ QUERIES = {
     "op8_quality_outliers": op8_quality_outliers,
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -100,7 +112,24 @@ QUERIES = {
 _ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_PRICE = "1 + (CAST(1000000000 AS HUGEINT) * ({n} + 5)) // ({total} + 5 * v)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_source_divergence": f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS text FROM documents),
+        w AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(text, '[a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS n_lang FROM w GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 30),
+        l AS (SELECT lang, count(*) AS v, sum(n_lang) AS total_lang FROM k GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+        g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, any_value(total_lang) AS total_lang, coalesce(sum(n), 0) AS total
+            FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN l USING (lang) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_PRICE.format(n="coalesce(c.n, 0)", total="total")} AS p,
+            {_PRICE.format(n="n_lang", total="total_lang")} AS q FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+        s AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM s WHERE part = 'pair' OR rank <= 50""",
     "op13_line_dedup": f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
         k AS (SELECT *, {_LOWER.format(f"regexp_replace(line, '{_ENDS}', '', 'g')")} AS key FROM l),
