@@ -16,11 +16,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewash import CleaningConfig, clean, compute_diff, lookup_join, profile, read_table, write_table
+from tablewash import CleaningConfig, clean, compute_diff, lookup_join, profile, read_table, run_job, write_table
 from tablewash.functions import dates, text
 from tablewash.operators import detect, headers, values
 from tablewash.operators.checkpoints import ensure_checkpoint_dir
 from tablewash.operators.dedupe import dedupe_column, dedupe_rows
+from tablewash.operators.diff import number_rows
 from tablewash.operators.export import to_records
 from tablewash.operators.fill import fill_numeric
 from tablewash.operators.fuzzy_dedupe import dedupe_fuzzy
@@ -125,13 +126,18 @@ def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def detect_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _dated_orders(spark, sf_dir).select(
-        "o_orderkey", "o_orderdate", "o_orderpriority", "raw_date",
-        F.expr(dirty("raw_money", "o_orderkey")).alias("raw_money"),
-        F.expr("CASE WHEN o_orderkey % 100 = 99 THEN '12k' END").alias("sparse"),
-    )
-    return detect.detect_columns(with_row_id(df, "o_orderkey"))
+def detect_query(sample: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _dated_orders(spark, sf_dir).select(
+            "o_orderkey", "o_orderdate", "o_orderpriority", "raw_date",
+            F.expr(dirty("raw_money", "o_orderkey")).alias("raw_money"),
+            F.expr("CASE WHEN o_orderkey % 100 = 99 THEN '12k' END").alias("sparse"),
+            # The first values mislead: amounts only at the head, dates only after it.
+            F.expr("CASE WHEN o_orderkey < 40 THEN '$' || o_orderkey || '00' ELSE 'none' END").alias("head_only"),
+            F.expr("CASE WHEN o_orderkey < 40 THEN 'later' ELSE '2024-05-' || (10 + o_orderkey % 18) END").alias("tail_only"),
+        )
+        return detect.detect_columns(with_row_id(df, "o_orderkey"), sample=sample)
+    return run
 
 
 def fill_query(method: str) -> Query:
@@ -242,6 +248,27 @@ def diff_changed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.select(F.col(ROW_ID).alias("row_key"), F.inline("changes"))
 
 
+def changed_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    diff = _before_after(spark, sf_dir)
+    return number_rows(diff.changed(100), diff.raw).select("row_index", F.inline("changes"))
+
+
+def removed_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    diff = _before_after(spark, sf_dir)
+    return without_row_id(number_rows(diff.removed(), diff.raw))
+
+
+def diff_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    diff = _before_after(spark, sf_dir)
+    return diff.truncated(100).unionAll(diff.truncated(10**9))
+
+
+def dedupe_rows_with_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of each text and language by source and id, a key of two columns."""
+    df = with_row_id(table(spark, sf_dir, "documents"), ["source", "doc_id"]).select("text", "lang", ROW_ID)
+    return dedupe_rows(df).select("text", "lang", f"{ROW_ID}.source", f"{ROW_ID}.doc_id")
+
+
 def preview_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = with_row_id(table(spark, sf_dir, "orders"), "o_orderkey")
     return without_row_id(head(df, 5))
@@ -285,7 +312,22 @@ def clean_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clean_customer(spark, sf_dir).log()
 
 
-def _clean_customer(spark: SparkSession, sf_dir: str):
+def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clean_customer(spark, sf_dir, run_job).log()
+
+
+def job_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clean_customer(spark, sf_dir, run_job).diff().cells().withColumnRenamed(ROW_ID, "row_key")
+
+
+def job_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All removed rows of the written job with their place in the input."""
+    job = _clean_customer(spark, sf_dir, run_job)
+    gone = job.diff().removed(None).join(job.row_numbers(), ROW_ID)
+    return gone.select(F.col(ROW_ID).alias("row_key"), "row_index", F.col("Email").alias("email"), F.col("Account Id").alias("account_id"))
+
+
+def _clean_customer(spark: SparkSession, sf_dir: str, job=clean):
     # Names such as Address or Location keep the amount detector off columns with digits.
     main = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("Cust Key"), F.col("c_mktsegment").alias("Client Name"),
@@ -305,7 +347,7 @@ def _clean_customer(spark: SparkSession, sf_dir: str):
         fix_emails=True, remove_special_chars=True, anonymize_pii=True, ignore_columns=("Cust Key",),
         fill_missing={"numeric": "zero"},
     )
-    return clean(main, config, nation, order_by="Cust Key", lookup_order_by="n_nationkey")
+    return job(main, config, nation, order_by="Cust Key", lookup_order_by="n_nationkey")
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -320,7 +362,8 @@ def queries() -> dict[str, Query]:
         "null_tokens": q("customer", "c_custkey", "raw_null", "cleaned", text.sanitize_nulls),
         "drop_empty": drop_empty,
         "profile_columns": profile_columns,
-        "detect_columns": detect_columns,
+        "detect_columns": detect_query("all"),
+        "detect_columns_head15": detect_query("head15"),
         "parse_money": q("orders", "o_orderkey", "raw_money", "amount", text.parse_money),
         "parse_dates": parse_dates,
         "clean_phone": q("customer", "c_custkey", "raw_phone", "phone", text.clean_phone),
@@ -339,6 +382,7 @@ def queries() -> dict[str, Query]:
         "fill_median": fill_query("median"),
         "fill_zero": fill_query("zero"),
         "dedupe_rows": dedupe_rows_query,
+        "dedupe_rows_with_id": dedupe_rows_with_id,
         "dedupe_column": dedupe_column_query,
         "dedupe_hot_key": dedupe_hot_key,
         "dedupe_fuzzy_names": dedupe_fuzzy_names,
@@ -351,12 +395,18 @@ def queries() -> dict[str, Query]:
         "diff_removed": diff_removed,
         "diff_removed_topk": diff_removed_topk,
         "diff_changed_topk": diff_changed_topk,
+        "changed_with_index": changed_with_index,
+        "removed_with_index": removed_with_index,
+        "diff_truncated": diff_truncated,
         "preview_topk": preview_topk,
         "records_json": records_json,
         "csv_scan": csv_scan,
         "csv_repair": csv_repair,
         "clean_table": clean_table,
         "clean_log": clean_log,
+        "job_log": job_log,
+        "job_diff": job_diff,
+        "job_removed": job_removed,
         **({"pipeline": corpus_pipeline.run, **llm.QUERIES} if llm else {}),
     }
 
@@ -400,16 +450,18 @@ _DATED_SQL = """SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate
         ELSE 'bad' END AS raw_date FROM orders"""
 
 
-def _detect_sql() -> str:
-    columns = ["o_orderkey", "o_orderdate", "o_orderpriority", "raw_date", "raw_money", "sparse"]
+def _detect_sql(first: int | None = None) -> str:
+    columns = ["o_orderkey", "o_orderdate", "o_orderpriority", "raw_date", "raw_money", "sparse", "head_only", "tail_only"]
     parts = " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", v FROM (SELECT CAST({c} AS VARCHAR) AS v,
-            row_number() OVER (ORDER BY o_orderkey) AS rn FROM d WHERE {c} IS NOT NULL) WHERE rn <= 15"""
+            row_number() OVER (ORDER BY o_orderkey) AS rn FROM d WHERE {c} IS NOT NULL) {f"WHERE rn <= {first}" if first else ""}"""
         for c in columns
     )
     return f"""WITH d AS (SELECT o_orderkey, o_orderdate, o_orderpriority, raw_date,
             {dirty("raw_money", "o_orderkey")} AS raw_money,
-            CASE WHEN o_orderkey % 100 = 99 THEN '12k' END AS sparse FROM ({_DATED_SQL})),
+            CASE WHEN o_orderkey % 100 = 99 THEN '12k' END AS sparse,
+            CASE WHEN o_orderkey < 40 THEN '$' || o_orderkey || '00' ELSE 'none' END AS head_only,
+            CASE WHEN o_orderkey < 40 THEN 'later' ELSE '2024-05-' || (10 + o_orderkey % 18) END AS tail_only FROM ({_DATED_SQL})),
         s AS ({parts}),
         g AS (SELECT "column", count(*) AS sampled,
             count(*) FILTER (regexp_matches(v, '[0-9]{{2,4}}[/-][0-9]{{1,2}}[/-][0-9]{{1,2}}')) AS date_hits,
@@ -492,6 +544,20 @@ def _clean_sql() -> str:
         FROM j WHERE rn = 1"""
 
 
+def _job_diff_sql() -> str:
+    """Cells of the cleaning job that changed: raw text beside cleaned text."""
+    cells = {
+        "client_name": ("c_mktsegment", "client_name"), "total_price": ("money", "CAST(total_price AS VARCHAR)"),
+        "email": ("j.email", "t.email"), "phone": ("j.phone", "t.phone"), "street_note": ("note", "street_note"),
+        "address": ("ar", "address"), "points": ("CAST(j.points AS VARCHAR)", "CAST(t.points AS VARCHAR)"),
+    }
+    values = ", ".join(f"{{'col': '{c}', 'before': {b}, 'after': {a}}}" for c, (b, a) in cells.items())
+    return f"""WITH t AS ({_clean_sql()}), {_CLEAN_SQL.removeprefix("WITH ")},
+        p AS (SELECT k AS row_key, unnest([{values}]) AS x FROM j JOIN t ON t.cust_key = j.k)
+        SELECT row_key, x.col AS col, x.before AS "before", x.after AS "after" FROM p
+        WHERE nullif(trim(x.before), '') IS DISTINCT FROM nullif(trim(x.after), '')"""
+
+
 def oracle_sql() -> dict[str, str]:
     s = _column_sql
     return {
@@ -503,6 +569,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT * FROM t WHERE raw_null IS NOT NULL OR n_null IS NOT NULL""",
         "profile_columns": _profile_sql(),
         "detect_columns": _detect_sql(),
+        "detect_columns_head15": _detect_sql(15),
         "parse_money": s("orders", "o_orderkey", "raw_money", "amount", _MONEY_SQL),
         "parse_dates": f"""SELECT o_orderkey, coalesce(try_strptime(raw_date, '%Y-%m-%d'), try_strptime(raw_date, '%d/%m/%Y'),
             try_strptime(raw_date, '%d-%m-%Y'), try_strptime(raw_date, '%m-%d-%Y')) AS parsed FROM ({_DATED_SQL})""",
@@ -520,6 +587,8 @@ def oracle_sql() -> dict[str, str]:
         "fill_median": _fill_sql("median({c})"),
         "fill_zero": _fill_sql("min(0)"),
         "dedupe_rows": "SELECT DISTINCT text, lang FROM documents",
+        "dedupe_rows_with_id": """SELECT text, lang, source, doc_id FROM (SELECT *,
+            row_number() OVER (PARTITION BY text, lang ORDER BY source, doc_id) AS rn FROM documents) WHERE rn = 1""",
         "dedupe_column": """SELECT doc_id, text, lang, source, n_chars FROM (SELECT *,
             row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
         "dedupe_hot_key": f"""SELECT o_orderkey, dup_key FROM (SELECT *, row_number() OVER (PARTITION BY dup_key ORDER BY o_orderkey) AS rn
@@ -533,6 +602,12 @@ def oracle_sql() -> dict[str, str]:
         "diff_removed_topk": _DIFF_SQL + "SELECT * FROM r ANTI JOIN c USING (c_custkey) ORDER BY c_custkey LIMIT 20",
         "diff_changed_topk": _DIFF_SQL + """SELECT * FROM d WHERE row_key IN
             (SELECT row_key FROM d GROUP BY row_key ORDER BY row_key LIMIT 100)""",
+        "changed_with_index": _DIFF_SQL + """, i AS (SELECT c_custkey AS row_key, row_number() OVER (ORDER BY c_custkey) AS row_index FROM r)
+            SELECT row_index, col, "before", "after" FROM d JOIN i USING (row_key) WHERE row_key IN
+            (SELECT row_key FROM d GROUP BY row_key ORDER BY row_key LIMIT 100)""",
+        "removed_with_index": _DIFF_SQL + """, i AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS row_index FROM r)
+            SELECT * FROM i ANTI JOIN c USING (c_custkey) ORDER BY c_custkey LIMIT 20""",
+        "diff_truncated": _DIFF_SQL + """SELECT count(DISTINCT row_key) > k AS truncated FROM d, (VALUES (100), (1000000000)) AS t(k) GROUP BY k""",
         "preview_topk": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5",
         "records_json": f"""SELECT '{{"o_orderkey":' || o_orderkey || ',"n_null":' || coalesce(CAST({dirty("n_null", "o_orderkey")} AS VARCHAR), 'null')
             || ',"o_orderstatus":"' || o_orderstatus || '","o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '"}}' AS record FROM orders""",
@@ -540,10 +615,13 @@ def oracle_sql() -> dict[str, str]:
             {dirty("n_null", "o_orderkey")} AS n_null, nullif({dirty("raw_money", "o_orderkey")}, 'n/a') AS raw_money FROM orders""",
         "csv_repair": _CSV_REPAIR_SQL,
         "clean_table": _clean_sql(),
-        "clean_log": _CLEAN_SQL + """SELECT CAST(step AS INT) AS step, action, CAST(n AS BIGINT) AS n FROM (
+        **dict.fromkeys(("clean_log", "job_log"), _CLEAN_SQL + """SELECT CAST(step AS INT) AS step, action, CAST(n AS BIGINT) AS n FROM (
             SELECT 0 AS step, 'merged' AS action, count(*) FILTER (hit) AS n FROM j
             UNION ALL SELECT 2, 'renamed', 1 UNION ALL SELECT 5, 'money', 1
             UNION ALL SELECT 6, 'duplicates', count(*) FILTER (rn > 1) FROM j
-            UNION ALL SELECT 7, 'masked', 3) WHERE n > 0 OR action = 'merged'""",
+            UNION ALL SELECT 7, 'masked', 3) WHERE n > 0 OR action = 'merged'"""),
+        "job_diff": _job_diff_sql(),
+        "job_removed": _CLEAN_SQL + """SELECT k AS row_key, row_number() OVER (ORDER BY k) AS row_index, email, account AS account_id
+            FROM j QUALIFY rn > 1""",
         **(llm.ORACLE_SQL if llm else {}),
     }

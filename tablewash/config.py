@@ -12,9 +12,12 @@ class CleaningConfig:
 
     ``fill_missing`` takes ``{"numeric": "mean" | "median" | "zero"}``.
     ``dedupe_column`` is ``"ALL"`` for whole rows or a column name.
-    The last group holds options with no effect on results unless changed.
+    The last group holds options with no effect on results unless changed;
+    ``detect_sample="all"`` lets all values of a column decide whether it holds
+    dates or amounts, not only the first fifteen.
     """
 
+    # The names and defaults of the options below, up to ``fill_missing``.
     standardize_columns: bool = False
     drop_empty_rows: bool = True
     clean_arabic: bool = False
@@ -41,6 +44,7 @@ class CleaningConfig:
 
     reference_year: int = 2026
     strict_mask: bool = False
+    detect_sample: str = "head15"
 
     @classmethod
     def from_dict(cls, values: Mapping) -> CleaningConfig:
@@ -51,3 +55,5 @@ class CleaningConfig:
         method = self.fill_missing.get("numeric")
         if method and method not in ("mean", "median", "zero"):
             raise ValueError(f"unknown fill method {method!r}: use mean, median or zero")
+        if self.detect_sample not in ("head15", "all"):
+            raise ValueError(f"unknown sample {self.detect_sample!r}: use head15 or all")

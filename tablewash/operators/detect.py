@@ -1,9 +1,11 @@
-"""Content detectors: which columns hold dates or amounts, judged on a small sample.
-
-A sample is the first fifteen non-NULL values of a column in row order.  Most
-columns fill theirs from the first few rows of the table, which are found with
-a scan of the order column alone and then read through a pushed-down bound on
-it; only sparse columns need a scan of their own.
+"""Content detectors: which columns hold dates or amounts.
+
+With ``sample="all"`` every value of every column is judged, by one aggregate
+over all columns in one scan.  With ``sample="head15"`` a column is judged by its
+first fifteen non-NULL values in row order.  Most columns fill that sample from
+the first few rows of the table, which are found with a scan of the order column
+alone and then read through a pushed-down bound on it; only sparse columns need
+a scan of their own.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from tablewash.operators import headers
 from tablewash.operators.headers import ROW_ID
 
 HEAD_BLOCK = 256
+SAMPLES = ("head15", "all")
+SHARE_TENTHS = round(10 * P.SAMPLE_SHARE)
 
 
 def _first_values(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -111,31 +115,58 @@ def looks_like_money(value: Column) -> Column:
     return value.rlike(P.MONEY_MARK_PATTERN) & F.lower(value).rlike(P.MONEY_LIKE_PATTERN)
 
 
-def detect_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame | None:
-    """Per column: sample size, hits of the two detectors, and their verdicts."""
+def _hits(value: Column) -> dict[str, Column]:
+    """How many values there are and how many each detector accepts."""
+    return {
+        "sampled": F.count(value),
+        "date_hits": F.count_if(looks_like_date(value)),
+        "money_hits": F.count_if(looks_like_money(value)),
+    }
+
+
+def _whole_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Hits over all values: one row of conditional aggregates, turned into a row per column."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    found = {c: _hits(as_text(F.col(f"`{c}`"), types[c])) for c in columns}
+    wide = df.agg(*[hit.alias(f"{name}{i}") for i, c in enumerate(columns) for name, hit in found[c].items()])
+    rows = [
+        F.struct(F.lit(c).alias("column"), *[F.col(f"{name}{i}").alias(name) for name in found[c]])
+        for i, c in enumerate(columns)
+    ]
+    return wide.select(F.inline(F.array(*rows))).where("sampled > 0")
+
+
+def detect_columns(
+    df: DataFrame, columns: Sequence[str] | None = None, sample: str = "head15"
+) -> DataFrame | None:
+    """Per column with a value: values judged, hits of the two detectors, and their verdicts.
+
+    ``sample`` is ``"all"`` for whole columns or ``"head15"`` for their first values.
+    """
     columns = headers.business_columns(df) if columns is None else list(columns)
-    samples = column_samples(df, columns)
-    if samples is None:
+    if sample not in SAMPLES:
+        raise ValueError(f"unknown sample {sample!r}: use one of {SAMPLES}")
+    if sample == "all":
+        counts = _whole_columns(df, columns) if columns else None
+    else:
+        samples = column_samples(df, columns)
+        counts = None if samples is None else samples.groupBy("column").agg(
+            *[hit.alias(name) for name, hit in _hits(F.col("value")).items()]
+        )
+    if counts is None:
         return None
-    counts = samples.groupBy("column").agg(
-        F.count("value").alias("sampled"),
-        F.count_if(looks_like_date(F.col("value"))).alias("date_hits"),
-        F.count_if(looks_like_money(F.col("value"))).alias("money_hits"),
-    )
-    share = F.col("sampled") * F.lit(P.SAMPLE_SHARE)
-    return counts.select(
-        "*",
-        (F.col("date_hits") >= share).alias("date_like"),
-        (F.col("money_hits") >= share).alias("money_like"),
-    )
+    # A share of three tenths, in whole numbers.
+    return counts.select("*", *[
+        (10 * F.col(f"{kind}_hits") >= SHARE_TENTHS * F.col("sampled")).alias(f"{kind}_like") for kind in ("date", "money")
+    ])
 
 
 def find_date_columns(
-    df: DataFrame, exclude: Collection[str] = (), reference_year: int = 2026
+    df: DataFrame, exclude: Collection[str] = (), reference_year: int = 2026, sample: str = "head15"
 ) -> list[str]:
     """Columns the date step converts: date-like samples and at least one readable value."""
     names = [c for c in headers.business_columns(df) if c not in exclude]
-    verdicts = detect_columns(df, names)
+    verdicts = detect_columns(df, names, sample)
     if verdicts is None:
         return []
     likely = {r["column"] for r in verdicts.where("date_like").select("column").collect()}
@@ -157,12 +188,14 @@ def _is_plain_number(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, (T.NumericType, T.BooleanType))
 
 
-def find_money_columns(df: DataFrame, exclude: Collection[str] = ()) -> list[str]:
+def find_money_columns(
+    df: DataFrame, exclude: Collection[str] = (), sample: str = "head15"
+) -> list[str]:
     """String columns, not vetoed by name, whose samples look like amounts."""
     names = [
         c for c in headers.string_columns(df) if c not in exclude and headers.is_money_name(c)
     ]
-    verdicts = detect_columns(df, names)
+    verdicts = detect_columns(df, names, sample)
     if verdicts is None:
         return []
     found = {r["column"] for r in verdicts.where("money_like").select("column").collect()}

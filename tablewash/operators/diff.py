@@ -12,7 +12,7 @@ from tablewash.functions import patterns as P
 from tablewash.functions.text import comparable, plain_number
 from tablewash.operators import headers
 from tablewash.operators.headers import ROW_ID
-from tablewash.operators.ordering import row_id
+from tablewash.operators.ordering import row_id, row_numbers
 
 CHANGES_TYPE = "array<struct<col:string,before:string,after:string>>"
 
@@ -84,6 +84,22 @@ class Diff:
         return self.stats().select((F.col("changed_count") > k).alias("truncated"))
 
 
+def changed_cells(before: list[tuple[Column, T.StructField]], after: list[tuple[Column, T.StructField]]) -> Column:
+    """Changed cells of a row, compared by position up to the shorter width and named after the cleaned side."""
+    cells = [
+        F.when(
+            differs(a, a_field.dataType, b, b_field.dataType),
+            F.struct(
+                F.lit(b_field.name).alias("col"),
+                shown(a, a_field.dataType).alias("before"),
+                shown(b, b_field.dataType).alias("after"),
+            ),
+        )
+        for (a, a_field), (b, b_field) in zip(before, after)
+    ]
+    return (F.array_compact(F.array(*cells)) if cells else F.array()).cast(CHANGES_TYPE)
+
+
 def compute_diff(raw: DataFrame, clean: DataFrame) -> Diff:
     """Compare by row id and, within a row, by column position up to the shorter width.
 
@@ -103,18 +119,9 @@ def compute_diff(raw: DataFrame, clean: DataFrame) -> Diff:
         *[F.col(f"`{b.name}`").alias(f"b{i}") for i, (_, b) in enumerate(pairs)],
     )
     both = F.col("in_raw").isNotNull() & F.col("in_clean").isNotNull()
-    cells = [
-        F.when(
-            differs(F.col(f"a{i}"), a.dataType, F.col(f"b{i}"), b.dataType),
-            F.struct(
-                F.lit(b.name).alias("col"),
-                shown(F.col(f"a{i}"), a.dataType).alias("before"),
-                shown(F.col(f"b{i}"), b.dataType).alias("after"),
-            ),
-        )
-        for i, (a, b) in enumerate(pairs)
-    ]
-    changes = F.array_compact(F.array(*cells)) if cells else F.array()
+    changes = changed_cells(
+        [(F.col(f"a{i}"), a) for i, (a, _) in enumerate(pairs)], [(F.col(f"b{i}"), b) for i, (_, b) in enumerate(pairs)]
+    )
     rows = left.join(right, ROW_ID, "full_outer").select(
         ROW_ID,
         F.coalesce("in_raw", F.lit(False)).alias("in_raw"),
@@ -125,26 +132,5 @@ def compute_diff(raw: DataFrame, clean: DataFrame) -> Diff:
 
 
 def number_rows(preview: DataFrame, raw: DataFrame) -> DataFrame:
-    """Add the one-based ``row_index`` in ``raw`` to a preview of a few rows.
-
-    The position of a row is the number of rows up to it, counted for all
-    previewed rows in one scan of the row id; nothing is sorted or numbered.
-    """
-    rows = preview.collect()
-    if not rows:
-        return preview.withColumn("row_index", F.lit(0).cast("bigint"))
-    kind = raw.schema[ROW_ID].dataType
-
-    def literal(value) -> Column:
-        if isinstance(kind, T.StructType):
-            return F.struct(*[
-                F.lit(value[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields
-            ])
-        return F.lit(value)
-
-    counts = raw.agg(
-        *[F.count_if(F.col(ROW_ID) <= literal(r[ROW_ID])).alias(str(i)) for i, r in enumerate(rows)]
-    ).first()
-    numbered = [(*r, counts[i]) for i, r in enumerate(rows)]
-    schema = T.StructType(preview.schema.fields + [T.StructField("row_index", T.LongType())])
-    return preview.sparkSession.createDataFrame(numbered, schema)
+    """Add the dense one-based ``row_index`` in ``raw`` to a preview."""
+    return preview.join(row_numbers(raw), ROW_ID, "left")

@@ -137,9 +137,13 @@ def exact_medians(
     }
 
 
-def fill_numeric(df: DataFrame, method: str, exclude: Collection[str] = ()) -> DataFrame:
+def fill_numeric(
+    df: DataFrame, method: str, exclude: Collection[str] = (), counted: Column | None = None
+) -> DataFrame:
     """Fill NULLs of numeric columns that have any.
 
+    ``counted`` says which rows take part in the mean or median (all, if not given).
+
     ``zero`` is a plain projection and keeps the type.  ``mean`` and ``median``
     first run one small aggregate and turn the filled columns to DOUBLE.  NaN
     counts as NULL.
@@ -153,7 +157,7 @@ def fill_numeric(df: DataFrame, method: str, exclude: Collection[str] = ()) -> D
         c: F.nanvl(F.col(f"`{c}`"), F.lit(None)) if kind in ("double", "float") else F.col(f"`{c}`")
         for c, kind in df.dtypes if c in columns
     }
-    narrow = df.select(*[v.alias(c) for c, v in value.items()])
+    narrow = (df if counted is None else df.where(counted)).select(*[v.alias(c) for c, v in value.items()])
     stats = narrow.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)],

@@ -350,22 +350,22 @@ def greedy_first_values(values: DataFrame, window: int = FIRST_WINDOW) -> DataFr
         window *= WINDOW_GROWTH
 
 
+def kept_ids(df: DataFrame, column: str, window: int = FIRST_WINDOW) -> DataFrame:
+    """The ``_rid`` of each row that stays; see :func:`dedupe_fuzzy`."""
+    rid = row_id(df, "fuzzy dedupe")
+    text = as_text(F.col(f"`{column}`"), df.schema[column].dataType)
+    rows = df.select(text.alias("value"), rid.alias("id"))
+    firsts = cut(rows.groupBy("value").agg(F.min("id").alias("id")))
+    kept = greedy_first_values(firsts.where("value <> ''"), window)
+    kept = kept.unionByName(firsts.where("value is null").select("id"))
+    return kept.unionByName(rows.where("value = ''").select("id")).withColumnRenamed("id", ROW_ID)
+
+
 def dedupe_fuzzy(df: DataFrame, column: str, window: int = FIRST_WINDOW) -> DataFrame:
     """Keep rows whose value is not similar (score 90) to an earlier kept value.
 
     Rows with an empty text are all kept.  NULL equals only NULL; the first
     NULL row is kept.  Needs a row order; runs jobs when called.
     """
-    rid = row_id(df, "fuzzy dedupe")
-    text = as_text(F.col(f"`{column}`"), df.schema[column].dataType)
-    firsts = df.select(text.alias("value"), rid.alias("id")).groupBy("value").agg(F.min("id").alias("id"))
-    firsts = cut(firsts)
-    kept = greedy_first_values(firsts.where("value <> ''"), window)
-    kept = kept.unionByName(firsts.where("value is null").select("id"))
-    flagged = df.join(
-        kept.select(F.col("id").alias(ROW_ID), F.lit(True).alias("_kept")), ROW_ID, "left"
-    )
     names = df.columns
-    return flagged.where(F.coalesce("_kept", F.lit(False)) | F.coalesce(text == "", F.lit(False))).select(
-        *[F.col(f"`{c}`") for c in names]
-    )
+    return df.join(kept_ids(df, column, window), ROW_ID, "left_semi").select(*[F.col(f"`{c}`") for c in names])

@@ -11,11 +11,14 @@ from tablewash.functions import patterns as P
 from tablewash.functions.text import header_case
 
 ROW_ID = "_rid"
+# What a job that marks rows instead of dropping them carries beside the table.
+JOB_RAW, JOB_STATUS, JOB_MATCHED = "_job_raw", "_job_status", "_job_matched"
+HIDDEN = (ROW_ID, JOB_RAW, JOB_STATUS, JOB_MATCHED)
 
 
 def business_columns(df: DataFrame) -> list[str]:
-    """All columns but the hidden row id."""
-    return [c for c in df.columns if c != ROW_ID]
+    """All columns but the hidden ones."""
+    return [c for c in df.columns if c not in HIDDEN]
 
 
 def unique_names(names: Iterable[str], taken: Iterable[str] = ()) -> list[str]:
@@ -34,7 +37,7 @@ def unique_names(names: Iterable[str], taken: Iterable[str] = ()) -> list[str]:
 
 def standardized_names(columns: Sequence[str]) -> dict[str, str]:
     """Old name -> snake_case name, collisions suffixed."""
-    business = [c for c in columns if c != ROW_ID]
+    business = [c for c in columns if c not in HIDDEN]
     renamed = dict(zip(business, unique_names([header_case(c) for c in business])))
     return {c: renamed.get(c, c) for c in columns}
 
@@ -80,14 +83,14 @@ def suggest_ignores(columns: Iterable[str]) -> list[str]:
 def string_columns(df: DataFrame) -> list[str]:
     return [
         f.name for f in df.schema.fields
-        if f.name != ROW_ID and isinstance(f.dataType, T.StringType)
+        if f.name not in HIDDEN and isinstance(f.dataType, T.StringType)
     ]
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [
         f.name for f in df.schema.fields
-        if f.name != ROW_ID and isinstance(f.dataType, T.NumericType)
+        if f.name not in HIDDEN and isinstance(f.dataType, T.NumericType)
     ]
 
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewash.config import CleaningConfig
@@ -89,35 +89,48 @@ def _dropped(before: DataFrame, after: DataFrame, step: int, action: str) -> Dat
     return _counted(counts.agg(F.sum("n").alias("n")), step, action, "n")
 
 
-def clean(
-    df: DataFrame,
-    config: CleaningConfig,
-    lookup: DataFrame | None = None,
-    order_by: str | Sequence[str] | None = None,
-    lookup_order_by: str | Sequence[str] | None = None,
-) -> CleanResult:
-    """Run the configured steps; see ``CleaningConfig``.
+class Filtered:
+    """Rows that go are filtered out; counts are aggregates over the plan, run when the log is read."""
 
-    ``order_by`` is a unique key that defines the row order; tables read by
-    ``read_table`` bring their own.  Detectors, mean and median fill and fuzzy
-    matching run small jobs while the plan is built; the rest is lazy.
-    """
-    raw = values.nan_to_null(with_row_id(df, order_by))
-    frame, log, added = raw, [], []
+    def __init__(self) -> None:
+        self.log: list[DataFrame] = []
 
-    if config.merge_active and lookup is not None:
-        result = lookup_join(
-            frame, with_row_id(lookup, lookup_order_by),
-            config.merge_key_main, config.merge_key_sec, config.merge_fuzzy,
-        )
-        log.append(_counted(match_count(result.df), 0, "merged", "matched"))
-        frame, added = strip_matched(result.df), result.added
+    def note(self, frame: DataFrame, step: int, action: str, n: int) -> None:
+        self.log.append(_known(frame, step, action, n))
+
+    def drop_empty(self, frame: DataFrame) -> DataFrame:
+        self.log.append(_counted(frame.agg(F.count_if(is_empty(frame)).alias("n")), 3, "dropped_empty", "n"))
+        return values.drop_empty_rows(frame)
+
+    def fill(self, frame: DataFrame, method: str, exclude: set[str]) -> DataFrame:
+        return fill_numeric(frame, method, exclude)
+
+    def keep_first(self, frame: DataFrame, column: str | None, fuzzy: bool) -> DataFrame:
+        if column is None:
+            after = dedupe_rows(frame)
+        else:
+            after = dedupe_fuzzy(frame, column) if fuzzy else dedupe_column(frame, column)
+        self.log.append(_dropped(frame, after, 6, duplicates_action(column, fuzzy)))
+        return after
+
+
+def is_empty(frame: DataFrame) -> Column:
+    """Whether all business columns of a row are NULL."""
+    return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNull() for c in headers.business_columns(frame)], F.lit(True))
+
+
+def duplicates_action(column: str | None, fuzzy: bool) -> str:
+    return "fuzzy_duplicates" if fuzzy and column is not None else "duplicates"
 
-    ignored = list(config.ignore_columns)
-    if not config.clean_merged_columns:
-        ignored += added
-    exclude = headers.excluded_columns(frame.columns, ignored, config.standardize_columns)
 
+def excluded(frame: DataFrame, config: CleaningConfig, added: Sequence[str]) -> set[str]:
+    """Columns that the steps leave alone: ignored ones, and merged ones that are to stay raw."""
+    ignored = list(config.ignore_columns) + ([] if config.clean_merged_columns else list(added))
+    return headers.excluded_columns(headers.business_columns(frame), ignored, config.standardize_columns)
+
+
+def run_steps(frame: DataFrame, config: CleaningConfig, exclude: set[str], rows: Filtered) -> DataFrame:
+    """All steps after the merge; ``rows`` says what becomes of rows that go, and keeps the log."""
     frame = values.sanitize(frame, exclude)
 
     if config.standardize_columns:
@@ -125,23 +138,20 @@ def clean(
         if any(old != new for old, new in renamed.items()):
             frame = frame.toDF(*renamed.values())
             exclude = {renamed[c] for c in exclude}
-            log.append(_known(frame, 2, "renamed", 1))
+            rows.note(frame, 2, "renamed", 1)
 
     if config.drop_empty_rows:
-        business = headers.business_columns(frame)
-        empty = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNull() for c in business])
-        log.append(_counted(frame.agg(F.count_if(empty).alias("n")), 3, "dropped_empty", "n"))
-        frame = values.drop_empty_rows(frame)
+        frame = rows.drop_empty(frame)
 
     if config.fix_dates:
-        dates = detect.find_date_columns(frame, exclude, config.reference_year)
+        dates = detect.find_date_columns(frame, exclude, config.reference_year, config.detect_sample)
         frame = values.fix_dates(frame, dates, config.reference_year)
-        log.append(_known(frame, 4, "dates", len(dates)))
+        rows.note(frame, 4, "dates", len(dates))
 
     if config.clean_money:
-        amounts = detect.find_money_columns(frame, exclude)
+        amounts = detect.find_money_columns(frame, exclude, config.detect_sample)
         frame = values.clean_money(frame, amounts)
-        log.append(_known(frame, 5, "money", len(amounts)))
+        rows.note(frame, 5, "money", len(amounts))
 
     if config.fix_emails:
         frame = values.fix_emails(frame, exclude)
@@ -152,26 +162,50 @@ def clean(
     if config.clean_arabic:
         frame = values.clean_arabic(frame, exclude)
     if config.fill_missing.get("numeric"):
-        frame = fill_numeric(frame, config.fill_missing["numeric"], exclude)
+        frame = rows.fill(frame, config.fill_missing["numeric"], exclude)
 
     if config.remove_duplicates:
-        before = frame
         column = config.dedupe_column
         if column != "ALL" and config.standardize_columns:
             column = header_case(column)
-        action = "duplicates"
         if column == "ALL":
-            frame = dedupe_rows(frame)
+            frame = rows.keep_first(frame, None, False)
         elif column in headers.business_columns(frame):
-            if config.fuzzy_dedupe:
-                frame, action = dedupe_fuzzy(frame, column), "fuzzy_duplicates"
-            else:
-                frame = dedupe_column(frame, column)
-        log.append(_dropped(before, frame, 6, action))
+            frame = rows.keep_first(frame, column, config.fuzzy_dedupe)
+        else:
+            rows.note(frame, 6, "duplicates", 0)
 
     if config.anonymize_pii:
         masked = values.masked_columns(frame, exclude, config.strict_mask)
         frame = values.mask_pii(frame, exclude, config.strict_mask)
-        log.append(_known(frame, 7, "masked", len(masked)))
+        rows.note(frame, 7, "masked", len(masked))
+    return frame
+
+
+def clean(
+    df: DataFrame,
+    config: CleaningConfig,
+    lookup: DataFrame | None = None,
+    order_by: str | Sequence[str] | None = None,
+    lookup_order_by: str | Sequence[str] | None = None,
+) -> CleanResult:
+    """Run the configured steps; see ``CleaningConfig``.
+
+    ``order_by`` is a unique key that defines the row order; tables read by
+    ``read_table`` bring their own.  Detectors, mean and median fill and fuzzy
+    matching run small jobs while the plan is built; the rest is lazy.  For a
+    job that writes its result and reports from it see ``run_job``.
+    """
+    raw = values.nan_to_null(with_row_id(df, order_by))
+    frame, rows, added = raw, Filtered(), []
+
+    if config.merge_active and lookup is not None:
+        result = lookup_join(
+            frame, with_row_id(lookup, lookup_order_by),
+            config.merge_key_main, config.merge_key_sec, config.merge_fuzzy,
+        )
+        rows.log.append(_counted(match_count(result.df), 0, "merged", "matched"))
+        frame, added = strip_matched(result.df), result.added
 
-    return CleanResult(raw, frame, tuple(log))
+    frame = run_steps(frame, config, excluded(frame, config, added), rows)
+    return CleanResult(raw, frame, tuple(rows.log))
