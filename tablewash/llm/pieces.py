@@ -8,8 +8,8 @@ from the end, so a backward A* search with it as heuristic finds the N best path
 White space starts a piece and never stands inside one, so a path may be cut before each
 white space, and around characters that are in no piece: the lattice of a text is a row of
 independent word lattices.  The Viterbi pass runs over all new words of a batch at once in
-numpy (forward, and backward for each word's loss to its second best path); found words stay
-in a cache of about ``CACHE`` words.  The N best of a text deviate from the best only in the
+numpy (forward, and backward for each word's loss to its second best path); found words are
+numbered and stay in flat arrays of about ``CACHE`` words, from which a text gathers its ids.  The N best of a text deviate from the best only in the
 words with the N smallest losses, any other choice being worse than these N, so A* searches
 those words alone.
 
@@ -36,8 +36,11 @@ from pyspark.sql import functions as F
 from . import tokens
 
 SPACE = "▁"
-CACHE = 200_000
+CACHE = 400_000
 LONGEST_WORD = 48
+# Entries of the lattices that one pass works on.
+LATTICE = 1 << 18
+LEAD_BITS = 20
 # A literal space sign of a text on its way through the lattice; no piece and no text has it.
 LITERAL = "\ud800"
 
@@ -60,8 +63,8 @@ class Pieces:
         inner = any(SPACE in name.lstrip(SPACE) for name in self.scores)
         # Where a space may stand inside a piece, a text is one lattice.
         self.cut = re.compile(r"(?s).+" if inner else rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
-        self.cache: dict[str, tuple] = {}
         self.searched: dict[str, list] = {}
+        self.forget()
         self.raw = [self.bytes_of.get(i) or name.replace(SPACE, " ").encode() for i, name in enumerate(self.names)]
         # Pieces by a hash of their characters, for the passes over many words at once.
         base = np.uint64(0xD1342543DE82EF95)
@@ -72,11 +75,47 @@ class Pieces:
             chars = np.array([ord(c) + 1 for c in name], np.uint64)
             hashes.append(int((tokens.mix(chars) * self.powers[:len(chars)]).sum() + np.uint64(len(chars))))
         order = np.argsort(np.array(hashes, np.uint64))
-        self.hashes = np.array(hashes, np.uint64)[order]
-        if (self.hashes[1:] == self.hashes[:-1]).any():
+        self.hashes = np.append(np.array(hashes, np.uint64)[order], np.uint64(0))
+        if (self.hashes[1:-1] == self.hashes[:-2]).any():
             raise ValueError("two pieces share a hash")
-        self.hash_ids = np.array([i for i, _ in self.scores.values()], np.int32)[order]
-        self.hash_scores = np.array([s for _, s in self.scores.values()])[order]
+        # The last entry stands for no piece.
+        none = len(order)
+        self.hash_ids = np.append(np.array([i for i, _ in self.scores.values()], np.int32)[order], np.int32(-1))
+        self.hash_scores = np.append(np.array([s for _, s in self.scores.values()])[order], -np.inf)
+        # The first piece whose hash begins with given bits, and for each piece the next one with the same bits.
+        lead = (self.hashes[:-1] >> np.uint64(64 - LEAD_BITS)).astype(np.int64)
+        self.first = np.full(1 << LEAD_BITS, none, np.int32)
+        self.first[lead[::-1]] = np.arange(none - 1, -1, -1)
+        self.after = np.full(none + 1, none, np.int32)
+        self.after[:none - 1][lead[1:] == lead[:-1]] = np.flatnonzero(lead[1:] == lead[:-1]) + 1
+        self.most = int(np.bincount(lead).max()) if none else 0
+
+    def forget(self) -> None:
+        """Empty the arrays of known words."""
+        self.number: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.score, self.loss = np.zeros(1 << 12), np.zeros(1 << 12)
+
+    def remember(self, words: list[str], ids: np.ndarray, sizes: np.ndarray, scores: np.ndarray, losses: np.ndarray) -> None:
+        """Number new words; ``ids`` are those of their best paths, one word after the other."""
+        at, end = len(self.number), len(self.number) + len(words)
+        self.flat = _room(self.flat, self.used + len(ids))
+        for name, values in (("start", self.used + np.cumsum(sizes) - sizes), ("size", sizes), ("score", scores), ("loss", losses)):
+            grown = _room(getattr(self, name), end)
+            grown[at:end] = values
+            setattr(self, name, grown)
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.number.update(zip(words, range(at, end), strict=True))
+
+    def pieces_at(self, h: np.ndarray) -> np.ndarray:
+        """The entry of the piece with each hash."""
+        at = self.first[(h >> np.uint64(64 - LEAD_BITS)).astype(np.int64)]
+        for _ in range(self.most):
+            wrong = self.hashes[at] != h
+            at[wrong] = self.after[at[wrong]]
+        return at
 
     def search(self, word: str) -> list[tuple[float, list[int]]]:
         """The N best (score, ids) of one word."""
@@ -120,102 +159,100 @@ class Pieces:
         return found
 
     def learn(self, words: set[str]) -> None:
-        """Put (ids of the best path, its score, loss of the second best) of new words into the cache."""
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
+        """Number the words that are not known yet: ids of the best path, its score, loss of the second best."""
+        if len(self.number) >= CACHE:
+            self.forget()
         by_length: dict[int, list[str]] = {}
-        for word in words:
-            if word not in self.cache:
-                by_length.setdefault(len(word), []).append(word)
+        for word in words.difference(self.number):
+            by_length.setdefault(len(word), []).append(word)
         for length, same in by_length.items():
-            if length > LONGEST_WORD:
-                rest = same
-            else:
-                rest = [w for at in range(0, len(same), 4096) for w in self._viterbi(same[at:at + 4096], length)]
+            rest, step = same, max(64, LATTICE // (length * min(self.longest, length)))
+            if length <= LONGEST_WORD:
+                rest = [w for at in range(0, len(same), step) for w in self._viterbi(same[at:at + step], length)]
             for word in rest:
                 ranked = self.ranked(word)
-                self.cache[word] = (np.array(ranked[0][1], np.int32).tobytes(), ranked[0][0],
-                                    ranked[0][0] - ranked[1][0] if len(ranked) > 1 else np.inf)
+                loss = ranked[0][0] - ranked[1][0] if len(ranked) > 1 else np.inf
+                ids = np.array(ranked[0][1], np.int32)
+                self.remember([word], ids, np.array([len(ids)]), np.array([ranked[0][0]]), np.array([loss]))
 
     def _viterbi(self, words: list[str], n: int) -> list[str]:
-        """Forward and backward pass over words of one length; words with a character without a piece are left."""
-        b = len(words)
-        chars = np.array(words, dtype=f"U{n}").view(np.uint32).reshape(b, n).astype(np.uint64)
-        sums = np.zeros((b, n + 1), np.uint64)
-        np.cumsum(tokens.mix(chars + np.uint64(1)) * self.powers[:n], axis=1, out=sums[:, 1:])
-        reach = min(self.longest, n)
-        arcs, names = [], []
+        """Forward and backward pass over words of one length; words with a character without a piece are left.
+
+        Arrays go by (size of the piece, where it begins, word).
+        """
+        b, reach = len(words), min(self.longest, n)
+        chars = np.array(words, dtype=f"U{n}").view(np.uint32).reshape(b, n).T.astype(np.uint64)
+        sums = np.zeros((n + 1, b), np.uint64)
+        np.cumsum(tokens.mix(chars + np.uint64(1)) * self.powers[:n, None], axis=0, out=sums[1:])
+        arcs, names = np.full((reach, n, b), -np.inf), np.full((reach, n, b), -1, np.int32)
         for size in range(1, reach + 1):
-            h = (sums[:, size:] - sums[:, :n - size + 1]) * self.back[:n - size + 1] + np.uint64(size)
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            known = self.hashes[at] == h
-            arcs.append(np.where(known, self.hash_scores[at], -np.inf))
-            names.append(self.hash_ids[at])
-        whole = (arcs[0] > -np.inf).all(axis=1)
-        ahead, step = np.zeros((b, n + 1)), np.zeros((b, n + 1), np.int64)
-        back = np.zeros((b, n + 1))
+            at = self.pieces_at((sums[size:] - sums[:n - size + 1]) * self.back[:n - size + 1, None] + np.uint64(size))
+            arcs[size - 1, :n - size + 1] = self.hash_scores[at]
+            names[size - 1, :n - size + 1] = self.hash_ids[at]
+        whole = (arcs[0] > -np.inf).all(axis=0)
+        ahead, step, back = np.zeros((n + 1, b)), np.zeros((n + 1, b), np.int64), np.zeros((n + 1, b))
         for end in range(1, n + 1):
-            options = np.stack([ahead[:, end - size] + arcs[size - 1][:, end - size] for size in range(1, min(reach, end) + 1)])
-            step[:, end] = options.argmax(axis=0) + 1
-            ahead[:, end] = options.max(axis=0)
+            best, by = ahead[end - 1] + arcs[0, end - 1], np.ones(b, np.int64)
+            for size in range(2, min(reach, end) + 1):
+                other = ahead[end - size] + arcs[size - 1, end - size]
+                by[other > best] = size
+                np.maximum(best, other, out=best)
+            ahead[end], step[end] = best, by
         for start in range(n - 1, -1, -1):
-            back[:, start] = np.stack([arcs[size - 1][:, start] + back[:, start + size] for size in range(1, min(reach, n - start) + 1)]).max(axis=0)
-        rows, at, count = np.arange(b), np.full(b, n), np.zeros(b, np.int64)
-        path = np.zeros((b, n), np.int32)
-        by_size = np.full((reach, b, n), -1, np.int32)
+            k = min(reach, n - start)
+            back[start] = (arcs[:k, start] + back[start + 1:start + 1 + k]).max(axis=0)
         for size in range(1, reach + 1):
-            by_size[size - 1, :, :n - size + 1] = names[size - 1]
-        totals = [ahead[:, :n - size + 1] + arcs[size - 1] + back[:, size:] for size in range(1, reach + 1)]
-        off_path = np.ones((reach, b, n), bool)
+            arcs[size - 1, :n - size + 1] += ahead[:n - size + 1]
+            arcs[size - 1, :n - size + 1] += back[size:]
+        path, at, count = np.full((b, n), -1, np.int32), np.full(b, n), np.zeros(b, np.int64)
         while (going := at > 0).any():
-            r, end = rows[going], at[going]
-            size = step[r, end]
+            r, end = np.flatnonzero(going), at[going]
+            size = step[end, r]
             start = end - size
-            path[r, n - 1 - count[r]] = by_size[size - 1, r, start]
-            off_path[size - 1, r, start] = False
+            path[r, n - 1 - count[r]] = names[size - 1, start, r]
+            arcs[size - 1, start, r] = -np.inf
             count[r] += 1
             at[going] = start
-        second = np.full(b, -np.inf)
-        for size in range(1, reach + 1):
-            second = np.maximum(second, np.where(off_path[size - 1, :, :n - size + 1], totals[size - 1], -np.inf).max(axis=1))
-        score, loss = ahead[:, n].tolist(), np.where(whole, ahead[:, n], 0.0) - second
-        loss = loss.tolist()
-        for i, word in enumerate(words):
-            if whole[i]:
-                self.cache[word] = (path[i, n - count[i]:].tobytes(), score[i], loss[i])
-        return [w for w, ok in zip(words, whole, strict=True) if not ok]
+        loss = np.where(whole, ahead[n], 0.0) - arcs.max(axis=(0, 1))
+        path = path[whole]
+        self.remember([w for w, ok in zip(words, whole.tolist(), strict=True) if ok], path[path >= 0], count[whole], ahead[n][whole], loss[whole])
+        return [w for w, ok in zip(words, whole.tolist(), strict=True) if not ok]
 
     def words(self, text: str) -> list[str]:
         return self.cut.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)) if text else []
 
     def encode(self, text: str) -> tuple[np.ndarray, list[float], list[np.ndarray]]:
         """Ids of the best segmentation, and scores and ids of the N best."""
-        if not text:
-            return np.zeros(0, np.int32), [0.0], [np.zeros(0, np.int32)]
         words = self.words(text)
-        try:
-            found = list(map(self.cache.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            found = list(map(self.cache.__getitem__, words))
-        parts, scores, losses = zip(*found, strict=True)
-        ids = np.frombuffer(b"".join(parts), np.int32)
-        total, losses = float(np.sum(scores)), np.array(losses)
+        self.learn(set(words))
+        return self.encode_words(words)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, list[float], list[np.ndarray]]:
+        """The same for a text whose words are known."""
+        if not words:
+            return np.zeros(0, np.int32), [0.0], [np.zeros(0, np.int32)]
+        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        sizes, losses = self.size[numbers], self.loss[numbers]
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        ids = self.flat[np.repeat(self.start[numbers] - begins, sizes) + np.arange(int(ends[-1]))]
+        total = float(np.sum(self.score[numbers]))
         k = min(self.n_best, len(losses))
         near = np.argpartition(losses, k - 1)[:k] if k < len(losses) else np.arange(k)
         near = near[np.lexsort((near, losses[near]))]
         choices: list[tuple[float, tuple]] = [(0.0, ())]
-        for i in near:
+        for i in near.tolist():
             ranked = self.ranked(words[i])
-            wider = [(loss + ranked[0][0] - ranked[r][0], picks + (((int(i), r),) if r else ()))
+            wider = [(loss + ranked[0][0] - ranked[r][0], picks + (((i, r),) if r else ()))
                      for loss, picks in choices for r in range(len(ranked))]
             choices = heapq.nsmallest(self.n_best, wider)
         every = []
         for _, picks in choices:
-            changed = list(parts)
-            for i, r in picks:
-                changed[i] = np.array(self.ranked(words[i])[r][1], np.int32).tobytes()
-            every.append(np.frombuffer(b"".join(changed), np.int32) if picks else ids)
+            parts, at = [], 0
+            for i, r in sorted(picks):
+                parts += [ids[at:begins[i]], np.array(self.ranked(words[i])[r][1], np.int32)]
+                at = ends[i]
+            every.append(np.concatenate([*parts, ids[at:]]) if picks else ids)
         return ids, [total - loss for loss, _ in choices], every
 
     def decode(self, ids: np.ndarray) -> str:
@@ -223,6 +260,13 @@ class Pieces:
         return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
+def _room(values: np.ndarray, n: int) -> np.ndarray:
+    """The array, copied to one of twice the size until it has ``n`` entries."""
+    while len(values) < n:
+        values = np.concatenate([values, np.zeros(len(values), values.dtype)])
+    return values
+
+
 _LOADED: dict[tuple, Pieces] = {}
 
 
@@ -251,9 +295,11 @@ def encode_texts(
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 ids, scores, digests, exact = [], [], [], []
-                pieces.learn({w for text in part.column("text").to_pylist() for w in pieces.words(text or "")})
-                for text in part.column("text").to_pylist():
-                    best, ranked, every = pieces.encode(text or "")
+                texts = part.column("text").to_pylist()
+                cut = [pieces.words(text or "") for text in texts]
+                pieces.learn(set().union(*cut))
+                for text, words in zip(texts, cut, strict=True):
+                    best, ranked, every = pieces.encode_words(words)
                     ids.append(best)
                     scores.append(ranked)
                     digests.append([hashlib.sha256(x.tobytes()).hexdigest() for x in every])
