@@ -34,9 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents"))
+    """``n_repeated`` counts the bytes in repeats of 272 bytes or more (50 words are about 310), removed or not."""
+    out = remove_repeats(table(spark, sf_dir, "documents"), passage=272)
     removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("bigint"), lambda x, y: x + y)
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("bigint").alias("n_spans"), "kept_sha256")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("bigint").alias("n_spans"), "kept_sha256", "n_repeated")
 
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,9 @@
    least ``ROUNDS`` whole phrases from the first one (the anchor) on.  So each string is
    looked at from its anchor: anchors of the repeated intervals are compared by the bytes
    that all their strings share and by the bytes that any of them has; only where these
-   disagree are single strings compared.
+   disagree are single strings compared.  Shorter strings hold fewer whole phrases: with
+   ``rounds`` = 1 the intervals after the first round serve strings of 272 bytes or more.
+   Two lengths can be looked for at once, on the same transforms and in the same jobs.
 
 Strings are compared by 64-bit hashes.  Defined cases: a NULL text is empty; each row is
 a text of its own, so a repeated row of ``length`` bytes or more is removed as a whole in
@@ -42,6 +44,8 @@ ROUNDS = 3
 SHARD_BYTES = 2 << 20
 TABLE_BYTES = 32 << 20
 IDS_PER_BUCKET = 1 << 20
+# Lengths of the strings that are looked for, and the rounds of refinement for each.
+Lengths = list[tuple[int, int]]
 STATE = "shard bigint, ids array<bigint>, ends binary, text binary, bwt binary, lf binary, at binary"
 
 
@@ -154,11 +158,17 @@ class Shard:
                     ids[ids != 0] *= self.answer(k)[which].astype(np.uint64)
         return ids
 
-    def anchors(self, length: int) -> dict[str, np.ndarray]:
+    def anchors(self, lengths: Lengths) -> dict[str, np.ndarray]:
+        """Anchors for all lengths, one length after the other."""
+        prefix = Substrings(self.data)
+        each = [self._anchors(length, rounds, prefix) for length, rounds in lengths]
+        return {**{c: np.concatenate([a[c] for a in each]) for c in each[0]}, "prefix": prefix}
+
+    def _anchors(self, length: int, rounds: int, prefix: Substrings) -> dict[str, np.ndarray]:
         """Anchors in the repeated intervals with the range [lo, hi] of the strings that have them first."""
         inner = WINDOW - 1
         starts = np.sort(self.at[self.at >= 0]).astype(np.int64)
-        p = np.sort(self.at[self.blocks(ROUNDS) != 0]).astype(np.int64)
+        p = np.sort(self.at[self.blocks(rounds) != 0]).astype(np.int64)
         begin = np.concatenate([[0], self.ends[:-1]])
         text = np.searchsorted(self.ends, p, "right")
         before = np.concatenate([[0], starts])[np.searchsorted(starts, p)]
@@ -166,10 +176,9 @@ class Shard:
         hi = np.minimum(p - inner, self.ends[text] - length)
         ok = lo <= hi
         p, lo, hi = p[ok], lo[ok], hi[ok]
-        prefix = Substrings(self.data)
         core = prefix.hash(p - inner, p - inner - WINDOW + 1 + length)
         whole = tokens.mix(prefix.hash(lo, hi + length) + (p - lo).astype(np.uint64) * tokens.MULTIPLIER)
-        return {"lo": lo, "hi": hi, "core": core, "whole": whole & ~np.uint64(1), "prefix": prefix}
+        return {"lo": lo, "hi": hi, "core": core, "whole": whole & ~np.uint64(1), "length": np.full(len(p), length)}
 
 
 class Substrings:
@@ -192,13 +201,13 @@ def _named(values: np.ndarray) -> np.ndarray:
     return names | (counts > 1).astype(np.uint64)
 
 
-def block_names(shard: Shard, round_: int, length: int) -> np.ndarray:
+def block_names(shard: Shard, round_: int, lengths: Lengths) -> np.ndarray:
     ids = shard.blocks(round_)
     return _named(ids[ids != 0])
 
 
-def anchor_names(shard: Shard, round_: int, length: int) -> np.ndarray:
-    a = shard.anchors(length)
+def anchor_names(shard: Shard, round_: int, lengths: Lengths) -> np.ndarray:
+    a = shard.anchors(lengths)
     pairs, counts = np.unique(np.stack([a["core"], a["whole"]], axis=1), axis=0, return_counts=True)
     pairs[:, 1] |= (counts > 1).astype(np.uint64)
     return pairs
@@ -210,15 +219,17 @@ def _anchor_answers(shard: Shard, a: dict) -> np.ndarray:
     return shard.answer(ROUNDS + 1)[which] if len(pairs) else np.zeros(0, np.uint8)
 
 
-def _strings(a: dict, chosen: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _strings(a: dict, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins, names and lengths of all strings of the chosen anchors."""
     n = a["hi"][chosen] - a["lo"][chosen] + 1
     begin = np.repeat(a["lo"][chosen] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(int(n.sum()))
-    return begin, a["prefix"].hash(begin, begin + length) & ~np.uint64(1)
+    length = np.repeat(a["length"][chosen], n)
+    return begin, a["prefix"].hash(begin, begin + length) & ~np.uint64(1), length
 
 
-def string_names(shard: Shard, round_: int, length: int) -> np.ndarray:
-    a = shard.anchors(length)
-    return _named(_strings(a, _anchor_answers(shard, a) >= 2, length)[1])
+def string_names(shard: Shard, round_: int, lengths: Lengths) -> np.ndarray:
+    a = shard.anchors(lengths)
+    return _named(_strings(a, _anchor_answers(shard, a) >= 2)[1])
 
 
 def repeated_names(table: pa.Table) -> pa.Table:
@@ -262,11 +273,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
             yield Shard({c: batch.column(c)[i].as_py() for c in batch.schema.names})
 
 
-def sender(names: Callable, round_: int, length: int, n_buckets: int):
+def sender(names: Callable, round_: int, lengths: Lengths, n_buckets: int):
     """Sorted names of each shard, cut at equal ranges of the hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _rows(batches):
-            values = names(shard, round_, length)
+            values = names(shard, round_, lengths)
             lead = values if values.ndim == 1 else values[:, 0]
             bucket = ((lead >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
             kinds, at = np.unique(bucket, return_index=True)
@@ -278,45 +289,68 @@ def sender(names: Callable, round_: int, length: int, n_buckets: int):
     return run
 
 
-def remover(length: int):
-    """Per text: the id, its spans to remove, and what is left."""
+def _covered(shard: Shard, lengths: Lengths) -> list[np.ndarray]:
+    """For each length, which bytes of the shard lie in a repeated string."""
+    a = shard.anchors(lengths)
+    said = _anchor_answers(shard, a)
+    begin, names, sizes = _strings(a, said >= 2)
+    kinds, which = np.unique(names, return_inverse=True)
+    repeated = shard.answer(ROUNDS + 2)[which] > 0 if len(kinds) else np.zeros(len(begin), bool)
+    sure = (said == 1) | (said == 3)
+    out = []
+    for length, _ in lengths:
+        change = np.zeros(len(shard.data) + 1, np.int32)
+        all_of, single = sure & (a["length"] == length), begin[repeated & (sizes == length)]
+        np.add.at(change, a["lo"][all_of], 1)
+        np.add.at(change, a["hi"][all_of] + length, -1)
+        np.add.at(change, single, 1)
+        np.add.at(change, single + length, -1)
+        out.append(np.cumsum(change[:-1]) > 0)
+    return out
+
+
+def remover(lengths: Lengths):
+    """Per text: the id, its spans to remove, what is left, and how many bytes lie in repeats of the last length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _rows(batches):
-            a = shard.anchors(length)
-            said = _anchor_answers(shard, a)
-            begin, names = _strings(a, said >= 2, length)
-            kinds, which = np.unique(names, return_inverse=True)
-            repeats = begin[shard.answer(ROUNDS + 2)[which] > 0] if len(kinds) else begin
-            change = np.zeros(len(shard.data) + 1, np.int32)
-            sure = (said == 1) | (said == 3)
-            np.add.at(change, a["lo"][sure], 1)
-            np.add.at(change, a["hi"][sure] + length, -1)
-            np.add.at(change, repeats, 1)
-            np.add.at(change, repeats + length, -1)
-            gone = np.cumsum(change[:-1]) > 0
-            out: dict[str, list] = {"n_bytes": [], "starts": [], "ends": [], "kept_text": [], "kept_sha256": []}
+            covered = _covered(shard, lengths)
+            gone, repeated = covered[0], np.concatenate([[0], np.cumsum(covered[-1])])
+            out: dict[str, list] = {"n_bytes": [], "n_repeated": [], "starts": [], "ends": [], "kept_text": [], "kept_sha256": []}
             for b, e in zip(np.concatenate([[0], shard.ends[:-1]]), shard.ends, strict=True):
                 own = np.diff(np.concatenate([[0], gone[b:e].astype(np.int8), [0]]))
                 out["n_bytes"].append(int(e - b))
+                out["n_repeated"].append(int(repeated[e] - repeated[b]))
                 out["starts"].append(np.flatnonzero(own == 1))
                 out["ends"].append(np.flatnonzero(own == -1))
                 kept = shard.data[b:e][~gone[b:e]].tobytes()
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["kept_text"].append(kept.decode("utf-8", "ignore"))
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.string()]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(shard.ids, pa.int64()), *[pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]], ["id", *out])
     return run
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 400) -> DataFrame:
+def least_length(rounds: int) -> int:
+    """The shortest strings that hold ``rounds`` whole phrases after their anchor, for certain."""
+    return 3 * WINDOW + 2 * GRAM + rounds * WINDOW
+
+
+def remove_repeats(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 400, rounds: int = ROUNDS,
+    passage: int | None = None, passage_rounds: int = 1,
+) -> DataFrame:
     """Per row: the id, ``n_bytes``, ``starts`` and ``ends`` of the removed byte runs, the SHA-256 of the bytes that
     are left, and these as ``kept_text`` (without the bytes of a character that was cut).
 
-    ``length`` must be 400 or more for the guarantee of :data:`ROUNDS` phrases to hold.
+    ``n_repeated`` counts the bytes in repeated strings of ``passage`` bytes, removed or not (of ``length``, if
+    ``passage`` is not given).  Strings of either length must hold as many phrases as the rounds that are asked for:
+    400 bytes for three rounds, 336 for two, 272 for one.
     """
-    if length < 400:
-        raise ValueError("strings shorter than 400 bytes need not hold enough phrases")
+    lengths: Lengths = [(length, rounds)] + ([(passage, passage_rounds)] if passage else [])
+    for size, n in lengths:
+        if size < least_length(n):
+            raise ValueError(f"strings shorter than {least_length(n)} bytes need not hold enough phrases")
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -336,15 +370,15 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         mine = answers.groupBy("shard").agg(F.collect_list(F.struct("round", "bucket", "said")).alias("answers"))
         return own.join(mine.hint("shuffle_hash"), "shard", "left")
 
-    rounds = [(block_names, k, repeated_names, ()) for k in range(1, ROUNDS + 1)]
-    rounds += [(anchor_names, ROUNDS + 1, compared_anchors, ("text",)), (string_names, ROUNDS + 2, repeated_names, ("text",))]
-    for names, k, judge, columns in rounds:
-        sent = with_answers(*columns).mapInArrow(sender(names, k, length, n_buckets), "shard bigint, round int, bucket bigint, names binary")
+    steps_of = [(block_names, k, repeated_names, ()) for k in range(1, max(n for _, n in lengths) + 1)]
+    steps_of += [(anchor_names, ROUNDS + 1, compared_anchors, ("text",)), (string_names, ROUNDS + 2, repeated_names, ("text",))]
+    for names, k, judge, columns in steps_of:
+        sent = with_answers(*columns).mapInArrow(sender(names, k, lengths, n_buckets), "shard bigint, round int, bucket bigint, names binary")
         said = sent.groupBy("bucket").applyInArrow(judge, "shard bigint, round int, bucket bigint, said binary")
         steps.append(written(said, "answers"))
         answers = steps[-1] if answers is None else answers.unionByName(steps[-1])
     out = with_answers("text").mapInArrow(
-        remover(length), "id bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept_text string, kept_sha256 string")
+        remover(lengths), "id bigint, n_bytes bigint, n_repeated bigint, starts array<bigint>, ends array<bigint>, kept_text string, kept_sha256 string")
     out = written(out.withColumnRenamed("id", id_column), "repeats")
     spark.sql(f"DROP TABLE {name}")
     for step in steps:

@@ -46,6 +46,25 @@ def test_edges_of_repeats_are_exact(spark):
     assert found == model(texts, 400)
 
 
+def test_shorter_passages_and_two_lengths(spark, small_docs, small_texts):
+    rng = np.random.default_rng(8)
+    letters = np.frombuffer(b"abcdefghij \n", np.uint8)
+    draw = lambda n: letters[rng.integers(0, len(letters), n)].tobytes().decode()
+    core = draw(900)
+    texts = [draw(50) + core[:271] + draw(60), draw(20) + core[40:312] + draw(90), draw(500) + core[300:700], draw(300) + core + draw(30),
+             draw(100) + core[450:721], draw(271), "é" * 136, "x" * 273, None, ""]
+    texts += [text for _, text in small_texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    one = suffix.remove_repeats(df, length=272, rounds=1).collect()
+    assert sorted((r.n_bytes, sum(r.ends) - sum(r.starts), len(r.starts), r.kept_sha256) for r in one) == model(texts, 272)
+    both = suffix.remove_repeats(df, passage=272).collect()
+    assert sorted((r.n_bytes, sum(r.ends) - sum(r.starts), len(r.starts), r.kept_sha256) for r in both) == model(texts, 400)
+    assert sorted((r.n_bytes, r.n_repeated) for r in both) == sorted(m[:2] for m in model(texts, 272))
+    assert suffix.remove_repeats(df, length=336, rounds=2).count() == len(texts)
+    with pytest.raises(ValueError):
+        suffix.remove_repeats(df, passage=271)
+
+
 def test_transform_is_a_burrows_wheeler_transform():
     data = np.frombuffer(b"banana split, banana bread; " * 30 + b"plain text " * 40, np.uint8)
     off = np.array([0, 300, 300, len(data)])
