@@ -23,6 +23,8 @@ from tablewash.llm.suffix import remove_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ROW_KEY = "_row_key"
+# Shorter than a passage of 50 words, which has about 310 bytes.
+PASSAGE = 272
 
 
 def keep_good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +46,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every byte in a string of 400 bytes that stands anywhere else too is removed; all documents stay."""
-    left = remove_repeats(docs, ROW_KEY).select(ROW_KEY, F.col("kept_text").alias("text"))
+    """Every byte in a string of ``PASSAGE`` bytes that stands anywhere else too is removed; all documents stay."""
+    left = remove_repeats(docs, ROW_KEY, length=PASSAGE, rounds=1).select(ROW_KEY, F.col("kept_text").alias("text"))
     out = docs.drop("text").join(left, ROW_KEY)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
