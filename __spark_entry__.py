@@ -64,6 +64,12 @@ PART_TYPO = f"""CASE p_partkey % 3
         WHEN 1 THEN substr({PART_LABEL}, 1, CAST(2 + p_partkey % 5 AS INT)) || substr({PART_LABEL}, CAST(2 + p_partkey % 5 AS INT))
         ELSE substr({PART_LABEL}, 1, CAST(2 + p_partkey % 5 AS INT)) || substr({PART_LABEL}, CAST(4 + p_partkey % 5 AS INT)) END"""
 
+# The same with wider gaps, and inside longer texts.
+LOOKUP_TYPO = f"""CASE WHEN p_partkey % 50 = 0 THEN 'special reserve ' || {PART_LABEL} || ' extra'
+        WHEN p_partkey % 50 = 10 THEN 'special reserve ' || substr({PART_LABEL}, 1, 4) || substr({PART_LABEL}, 7) || ' extra'
+        WHEN p_partkey % 25 = 3 THEN substr({PART_LABEL}, 1, 3) || substr({PART_LABEL}, 8)
+        WHEN p_partkey % 25 = 4 THEN 'xx' || p_partkey || 'yy' ELSE {PART_TYPO} END"""
+
 
 def dirty(name: str, key: str) -> str:
     return DIRTY[name].replace("{k}", key)
@@ -210,7 +216,7 @@ def lookup_match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lookup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    main = part.select("p_partkey", F.expr(PART_TYPO).alias("label"))
+    main = part.select("p_partkey", F.expr(LOOKUP_TYPO).alias("label"))
     lookup = part.select(F.col("p_partkey").alias("ord"), F.expr(PART_LABEL).alias("clean_label"),
                          F.expr(PART_LABEL).alias("found"))
     joined = lookup_join(with_row_id(main, "p_partkey"), with_row_id(lookup, "ord"), "label", "clean_label", fuzzy=True)
@@ -544,6 +550,65 @@ def _clean_sql() -> str:
         FROM j WHERE rn = 1"""
 
 
+def _lcs_sql(p: str) -> str:
+    """The length ``n`` of the longest common subsequence of the texts ``x`` and ``y`` in the table ``todo``, for
+    texts of at most 120 letters: one bit per letter of ``x``, one step of the recursion per letter of ``y``."""
+    return f"""{p}masks AS MATERIALIZED (SELECT x, substr(x, i, 1) AS c, sum(CAST(1 AS HUGEINT) << CAST(i - 1 AS INT)) AS m
+            FROM (SELECT x, unnest(generate_series(1, length(x))) AS i FROM (SELECT DISTINCT x FROM {p}todo)) GROUP BY ALL),
+        {p}walk AS (SELECT x, y, 0 AS i, (CAST(1 AS HUGEINT) << length(x)) - 1 AS r FROM {p}todo
+            UNION ALL SELECT w.x, w.y, w.i + 1, ((w.r + (w.r & coalesce(m, 0))) | (w.r - (w.r & coalesce(m, 0)))) & ((CAST(1 AS HUGEINT) << length(w.x)) - 1)
+            FROM {p}walk w LEFT JOIN {p}masks k ON k.x = w.x AND k.c = substr(w.y, w.i + 1, 1) WHERE w.i < length(w.y)),
+        {p}lcs AS MATERIALIZED (SELECT x, y, length(x) - bit_count(r) AS n FROM {p}walk WHERE i = length(y))"""
+
+
+# The score at its cutoff of 90 in whole numbers, then the scan over the values in order.
+_FUZZY_NAMES_SQL = f"""WITH RECURSIVE v AS (SELECT min(p_partkey) AS id, {PART_TYPO} AS t FROM part GROUP BY t),
+        w AS (SELECT id, t, list_sort(list_filter(string_split_regex(t, '[{_WS}]+'), lambda s: s <> '')) AS s FROM v),
+        o AS (SELECT a.id AS a, b.id AS b, a.t AS ta, b.t AS tb, a.s AS la, b.s AS lb, array_to_string(a.s, ' ') AS sa, array_to_string(b.s, ' ') AS sb
+            FROM w a JOIN w b ON a.id > b.id AND 2 * greatest(length(a.t), length(b.t)) < 3 * least(length(a.t), length(b.t))),
+        p AS MATERIALIZED (SELECT *, array_to_string(list_sort(list_filter(list_distinct(la), lambda x: list_contains(lb, x))), ' ') AS shared,
+            array_to_string(list_sort(list_filter(list_distinct(la), lambda x: NOT list_contains(lb, x))), ' ') AS da,
+            array_to_string(list_sort(list_filter(list_distinct(lb), lambda x: NOT list_contains(la, x))), ' ') AS db
+            FROM o WHERE list_has_any(la, lb) OR levenshtein(ta, tb) <= (length(ta) + length(tb)) // 10 OR levenshtein(sa, sb) <= (length(sa) + length(sb)) // 19
+                OR len(list_distinct(la)) < len(la) OR len(list_distinct(lb)) < len(lb)),
+        q AS (SELECT *, 2 * length(shared) + CASE WHEN shared <> '' THEN 2 ELSE 0 END + length(da) + length(db) AS total FROM p),
+        ways AS (SELECT a, b, ta AS x, tb AS y, (length(ta) + length(tb)) // 10 AS allowed FROM p
+            UNION ALL SELECT a, b, sa, sb, (length(sa) + length(sb)) // 19 FROM p
+            UNION ALL SELECT a, b, da, db, total // 19 FROM q WHERE da <> '' AND db <> ''),
+        near AS MATERIALIZED (SELECT * FROM ways WHERE abs(length(x) - length(y)) <= allowed AND levenshtein(x, y) <= allowed),
+        todo AS MATERIALIZED (SELECT DISTINCT x, y FROM near), {_lcs_sql("")},
+        edges AS (SELECT a, b FROM near JOIN lcs USING (x, y) WHERE length(x) + length(y) - 2 * n <= allowed
+            UNION SELECT a, b FROM q WHERE shared <> '' AND (da = '' OR db = '' OR 9 * (1 + least(length(da), length(db))) <= length(shared))
+            UNION SELECT a.id, b.id FROM v a JOIN v b ON a.id > b.id AND 2 * greatest(length(a.t), length(b.t)) >= 3 * least(length(a.t), length(b.t))
+                AND greatest(length(a.t), length(b.t)) <= 8 * least(length(a.t), length(b.t)) AND (contains(a.t, b.t) OR contains(b.t, a.t))),
+        n AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS place, coalesce(list(b), []) AS earlier FROM v LEFT JOIN edges ON a = id GROUP BY id),
+        scan AS (SELECT CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS kept
+            UNION ALL SELECT n.place, CASE WHEN list_has_any(kept, earlier) THEN kept ELSE list_append(kept, id) END FROM scan JOIN n ON n.place = scan.place + 1)
+        SELECT id AS p_partkey, t AS label FROM v WHERE list_contains((SELECT kept FROM scan ORDER BY place DESC LIMIT 1), id)"""
+
+# Exact keys first; for the others the best score of at least 75 over all lookup keys, the earliest of equal ones.
+_FUZZY_LOOKUP_SQL = f"""WITH RECURSIVE m AS (SELECT p_partkey, {LOOKUP_TYPO} AS label, {_on(_KEY_SQL, f"({LOOKUP_TYPO})")} AS k FROM part),
+        l AS (SELECT min(p_partkey) AS ord, {_on(_KEY_SQL, f"({PART_LABEL})")} AS k FROM part GROUP BY k),
+        o AS MATERIALIZED (SELECT DISTINCT k FROM m WHERE k <> '' AND k NOT IN (SELECT k FROM l)),
+        pairs AS (SELECT o.k AS a, l.k AS b, ord, CASE WHEN length(o.k) <= length(l.k) THEN o.k ELSE l.k END AS short,
+            CASE WHEN length(o.k) <= length(l.k) THEN l.k ELSE o.k END AS long FROM o, l),
+        near AS MATERIALIZED (SELECT a, b, ord, length(a) + length(b) AS total FROM pairs WHERE levenshtein(a, b) <= (length(a) + length(b)) // 4),
+        r_todo AS MATERIALIZED (SELECT DISTINCT a AS x, b AS y FROM near), {_lcs_sql("r_")},
+        far AS MATERIALIZED (SELECT * FROM pairs WHERE 2 * length(long) >= 3 * length(short) AND length(long) <= 8 * length(short)),
+        f_todo AS MATERIALIZED (SELECT DISTINCT short AS x, long AS y FROM far), {_lcs_sql("f_")},
+        starts AS (SELECT x, y, unnest(generate_series(2 - length(x), length(y))) AS i FROM f_lcs WHERE 7 * n >= 5 * length(x)),
+        windows AS MATERIALIZED (SELECT x AS short, y AS long, substr(y, greatest(i, 1), i + length(x) - greatest(i, 1)) AS w FROM starts),
+        w_todo AS MATERIALIZED (SELECT DISTINCT short AS x, w AS y FROM windows), {_lcs_sql("w_")},
+        best AS (SELECT short, long, max(1 - (length(x) + length(y) - 2 * n) / (length(x) + length(y))) * 100 * 0.9 AS score
+            FROM windows JOIN w_lcs ON x = short AND y = w GROUP BY short, long),
+        scored AS (SELECT a, ord, (1 - (total - 2 * n) / total) * 100 AS score FROM near JOIN r_lcs ON x = a AND y = b WHERE total - 2 * n <= total // 4
+            UNION ALL SELECT a, ord, score FROM far JOIN best USING (short, long) WHERE score >= 75 - 1e-9),
+        found AS (SELECT a AS k, ord FROM scored QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, ord) = 1
+            UNION ALL SELECT k, ord FROM l)
+        SELECT m.p_partkey, m.label, f.ord, p.p_name || ' ' || p.p_brand AS found, f.ord IS NOT NULL AS _matched
+        FROM m LEFT JOIN found f USING (k) LEFT JOIN part p ON p.p_partkey = f.ord"""
+
+
 def _job_diff_sql() -> str:
     """Cells of the cleaning job that changed: raw text beside cleaned text."""
     cells = {
@@ -593,6 +658,8 @@ def oracle_sql() -> dict[str, str]:
             row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
         "dedupe_hot_key": f"""SELECT o_orderkey, dup_key FROM (SELECT *, row_number() OVER (PARTITION BY dup_key ORDER BY o_orderkey) AS rn
             FROM (SELECT o_orderkey, {dirty("dup_key", "o_orderkey")} AS dup_key FROM orders)) WHERE rn = 1""",
+        "dedupe_fuzzy_names": _FUZZY_NAMES_SQL,
+        "lookup_fuzzy": _FUZZY_LOOKUP_SQL,
         "lookup_exact": _LOOKUP_SQL + "SELECT o_orderkey, o_orderstatus, main_key, c_custkey, o_orderstatus_lookup, _matched FROM j",
         "lookup_match_count": _LOOKUP_SQL + "SELECT count(*) AS n_rows, count(*) FILTER (_matched) AS n_matched FROM j",
         "diff_cells": _DIFF_SQL + 'SELECT * FROM d',

@@ -4,7 +4,9 @@ The result is defined by a sequential scan: a value is dropped when its weighted
 score against any value kept before it is at least 90.  That is the
 lexicographically first maximal independent set of the similarity graph, and
 rounds reach it in parallel (Blelloch, Fineman, Shun, SPAA 2012): keep what has
-no open earlier neighbour, drop what has a kept one, repeat.
+no open earlier neighbour, drop what has a kept one, repeat.  Along a chain, where
+each value has one open earlier neighbour, decisions are passed by pointer doubling,
+so the jobs grow with the logarithm of the chain, not with its length.
 
 Only distinct values take part.  Values meet on shared-gram keys, and per key
 every open value is compared with the first ``window`` open ones only, so a key
@@ -294,16 +296,54 @@ def _advance(state: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def _pass_along(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """Decide every open value that hangs on a decided one by a chain, however long.
+
+    A value with one open earlier neighbour and no kept one is the opposite of that neighbour.  Such values
+    point to their neighbour; pointers are doubled until each leads to a value that decides by itself or
+    must wait, so a chain takes as many joins as its length has binary digits.
+    """
+    status = state.select(F.col("id").alias("earlier"), F.col("status").alias("s"))
+    is_open = F.col("s") == OPEN
+    seen = edges.join(status, "earlier").groupBy(F.col("later").alias("id")).agg(
+        F.bool_or(F.col("s") == KEPT).alias("near_kept"),
+        F.count_if(is_open).alias("n_open"),
+        F.min(F.when(is_open, F.col("earlier"))).alias("parent"),
+    )
+    n_open = F.coalesce("n_open", F.lit(0))
+    # What a value is by itself; NULL: the opposite of its neighbour.
+    root = (
+        F.when(F.coalesce("near_kept", F.lit(False)), F.lit(DROPPED))
+        .when(F.col("incomplete") | (n_open > 1), F.lit(OPEN))
+        .when(n_open == 0, F.lit(KEPT))
+    )
+    links = state.where(F.col("status") == OPEN).join(seen, "id", "left").withColumn("root", root)
+    links = cut(links.select(
+        "id", F.when(F.col("root").isNull(), F.col("parent")).otherwise(F.col("id")).alias("to"),
+        F.col("root").isNull().alias("flip"), "root",
+    ))
+    while not links.where("root is null").isEmpty():
+        ahead = links.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("flip").alias("f"), F.col("root").alias("r"))
+        links = cut(links.join(ahead, "to").select(
+            "id", F.col("next").alias("to"), (F.col("flip") != F.col("f")).alias("flip"), F.col("r").alias("root")))
+    decided = links.select("id", F.when(F.col("flip") & (F.col("root") != OPEN), KEPT + DROPPED - F.col("root"))
+                           .otherwise(F.col("root")).alias("found"))
+    return state.join(decided, "id", "left").select("id", "incomplete", F.coalesce("found", "status").alias("status"))
+
+
 def _settle(state: DataFrame, edges: DataFrame) -> DataFrame:
     """Repeat keep-and-drop on the known edges until nothing changes."""
-    open_before = None
+    open_before, rounds = None, 0
     while True:
-        # Two steps, keep and then drop, between checkpoints.
-        state = cut(_advance(_advance(state, edges), edges))
+        # Two steps, keep and then drop, between checkpoints; what they leave may be chains.
+        state = _advance(_advance(state, edges), edges)
+        if rounds:
+            state = _pass_along(cut(state), edges)
+        state = cut(state)
         still_open = state.where(F.col("status") == OPEN).count()
         if still_open in (0, open_before):
             return state
-        open_before = still_open
+        open_before, rounds = still_open, rounds + 1
 
 
 def greedy_first_values(values: DataFrame, window: int = FIRST_WINDOW) -> DataFrame:

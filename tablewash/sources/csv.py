@@ -22,6 +22,8 @@ INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 NUMBER = r"(?i)^\s*[+-]?(?:[0-9]+\.?[0-9]*(?:e[+-]?[0-9]+)?|\.[0-9]+(?:e[+-]?[0-9]+)?|inf|infinity)\s*$"
 BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
 ROWS_PER_PARTITION_BITS = 33
+# Header lines that the files of one folder may differ in.
+MOST_HEADERS = 100
 
 
 def header_names(line: str) -> list[str]:
@@ -121,10 +123,59 @@ def infer_aggregates(names: list[str]) -> list[Column]:
     return out
 
 
-def has_open_fields(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
-    """Whether any line ends inside a quoted field, so that cells hold line breaks."""
-    lines = spark.read.option("encoding", encoding).text(path)
-    return lines.where(F.col("value").contains('"') & F.col("value").rlike(OPEN_LINE)).limit(1).count() > 0
+def file_facts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """Per file, from one pass over the text: the header line, whether a line ends inside a quoted field
+    (``open_fields``), and whether such a field is never closed (``unclosed``: an odd number of quotes)."""
+    lines = spark.read.option("encoding", encoding).text(path).where(F.trim("value") != "")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    marked = lines.select(
+        F.col("_metadata.file_path").alias("file"), "value", place.alias("place"), quotes.alias("quotes"),
+        (F.col("value").contains('"') & F.col("value").rlike(OPEN_LINE)).alias("open"),
+    )
+    facts = marked.groupBy("file").agg(
+        F.min_by("value", "place").alias("header"), F.bool_or("open").alias("open_fields"), F.sum("quotes").alias("quotes"))
+    return facts.select("file", "header", "open_fields", (F.col("open_fields") & (F.col("quotes") % 2 == 1)).alias("unclosed"))
+
+
+def _header_orders(facts: DataFrame, path: str) -> tuple[list[str], dict[str, list[int]]]:
+    """The column names, and for each header line that has them in another order the places of the columns.
+
+    The names stand as in the first file; a file with other names is an error.
+    """
+    found = facts.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").limit(MOST_HEADERS + 1).collect()
+    if not found:
+        raise ValueError(f"{path} is empty")
+    if len(found) > MOST_HEADERS:
+        raise ValueError(f"{path} has files with more than {MOST_HEADERS} different header lines")
+    names = header_names(found[0]["header"])
+    orders = {}
+    for row in found[1:]:
+        own = header_names(row["header"])
+        if sorted(own) != sorted(names):
+            raise ValueError(f"{row['file']} has the columns {own}, but {found[0]['file']} has {names}")
+        if own != names:
+            orders[row["header"]] = [own.index(name) for name in names]
+    return names, orders
+
+
+def _in_order(raw: DataFrame, facts: DataFrame, names: list[str], orders: dict[str, list[int]]) -> DataFrame:
+    """The fields of files with another column order, put in the order of the names."""
+    if not orders:
+        return raw
+    fields = F.array(*[F.col(f"`{c}`") for c in names])
+    known = F.create_map(*[x for header, places in orders.items() for x in (F.lit(header), F.array(*map(F.lit, places)))])
+    places = facts.select(F.col("file").alias("_file"), known[F.col("header")].alias("_places"))
+    joined = raw.join(places, F.col(f"{ROW_ID}.file") == F.col("_file"), "left")
+    return joined.withColumn("_moved", _moved(fields, orders)).select(
+        *[F.get("_moved", F.lit(i)).alias(c) for i, c in enumerate(names)], BROKEN, ROW_ID, "_places")
+
+
+def _moved(fields: Column, orders: dict[str, list[int]]) -> Column:
+    """Fields in the order of the names."""
+    if not orders:
+        return fields
+    return F.when(F.col("_places").isNull(), fields).otherwise(F.transform("_places", lambda i: F.get(fields, i)))
 
 
 def read_csv(
@@ -139,17 +190,22 @@ def read_csv(
     long are mended where a number was split at its comma, and the other broken
     ones are dropped.
 
+    The files of a folder may have their columns in different orders, each as its
+    own header says; the order of the first file holds.  Other names are an error.
+
     Cells may hold line breaks: with ``multi_line=None`` one pass over the text
     looks for a line that ends inside a quoted field.  Such files are read one
-    task per file; without them files are split.  Where quotes at the start of
-    a field are plain text, pass ``multi_line=False``.
+    task per file; without them files are split.  Where a quoted field is never
+    closed, the lines after it are no part of it: the table is read line by line
+    in repair mode.  Where quotes at the start of a field are plain text, pass
+    ``multi_line=False``.
     """
-    first = spark.read.option("encoding", encoding).text(path).limit(1).first()
-    if first is None:
-        raise ValueError(f"{path} is empty")
-    names = header_names(first[0])
+    facts = staged(file_facts(spark, path, encoding), "csv-files")
+    names, orders = _header_orders(facts, path)
+    quoting = facts.agg(F.bool_or("open_fields").alias("open"), F.bool_or("unclosed").alias("unclosed")).first()
+    line_by_line = multi_line is None and quoting["unclosed"]
     if multi_line is None:
-        multi_line = has_open_fields(spark, path, encoding)
+        multi_line = quoting["open"] and not line_by_line
     stored = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*stored, BROKEN]])
     scan = (
@@ -173,16 +229,16 @@ def read_csv(
             in_partition.alias("row"),
         ).alias(ROW_ID),
     )
-    raw = staged(parsed, "csv").toDF(*names, BROKEN, ROW_ID)
+    raw = _in_order(staged(parsed, "csv").toDF(*names, BROKEN, ROW_ID), facts, names, orders)
     n = len(names)
-    facts = raw.agg(
+    checks = raw.agg(
         F.coalesce(F.bool_or(field_count(F.col(BROKEN)) > n), F.lit(False)).alias("over_long"),
         *infer_aggregates(names),
     ).first()
-    if not facts["over_long"]:
-        return _typed(raw, names, facts)
+    if not checks["over_long"] and not line_by_line:
+        return _typed(raw, names, checks)
     parsed = F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names])
-    fields = F.when(F.col(BROKEN).isNull(), parsed).otherwise(repair_line(F.col(BROKEN), n))
+    fields = F.when(F.col(BROKEN).isNull(), parsed).otherwise(_moved(repair_line(F.col(BROKEN), n), orders))
     return (
         raw.select(fields.alias("_fields"), ROW_ID)
         .where(F.col("_fields").isNotNull())

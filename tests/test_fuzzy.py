@@ -163,3 +163,37 @@ def test_fuzzy_plans_have_no_cross_join(spark):
     a = spark.createDataFrame([("abcdefgh",)], "key_text string")
     plan = scored_candidates(a, a, 75)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_chains_are_decided_by_pointer_doubling(spark):
+    """Jobs grow with the logarithm of a chain; a branch, a kept neighbour and an undecidable root are respected."""
+    from tablewash.operators import fuzzy_dedupe as fd
+
+    def settle(n, extra=(), incomplete=()):
+        ids = spark.range(n).select("id", F.col("id").isin(list(incomplete)).alias("incomplete"), F.lit(fd.OPEN).alias("status"))
+        edges = spark.range(1, n).select(F.col("id").alias("later"), (F.col("id") - 1).alias("earlier"))
+        if extra:
+            edges = edges.unionByName(spark.createDataFrame(list(extra), "later bigint, earlier bigint"))
+        group = f"chain-{n}-{len(extra)}"
+        spark.sparkContext.setJobGroup(group, group)
+        out = {r.id: r.status for r in fd._settle(ids, edges.distinct()).collect()}
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    def scan(n, extra=()):
+        near = {}
+        for a, b in [*((i, i - 1) for i in range(1, n)), *extra]:
+            near.setdefault(a, set()).add(b)
+        kept = set()
+        for i in range(n):
+            if not near.get(i, set()) & kept:
+                kept.add(i)
+        return {i: fd.KEPT if i in kept else fd.DROPPED for i in range(n)}
+
+    short, few = settle(100)
+    long, many = settle(10_000)
+    assert short == scan(100) and long == scan(10_000)
+    assert many <= 2.5 * few
+    extra = [(50, 47), (200, 5), (201, 6)]
+    assert settle(300, extra)[0] == scan(300, extra)
+    waiting = settle(50, incomplete=[20])[0]
+    assert all(waiting[i] == scan(50)[i] for i in range(20)) and waiting[20] == fd.OPEN and all(waiting[i] == fd.OPEN for i in range(21, 50))

@@ -233,3 +233,26 @@ def test_preview_parts(spark):
 def test_without_lookup_table_merge_is_skipped(spark):
     df = spark.createDataFrame([(1, "a")], "k long, s string")
     assert clean(df, CleaningConfig(merge_active=True, merge_key_main="s"), order_by="k").df.columns == ["k", "s"]
+
+
+def test_files_of_a_folder_keep_their_own_column_order(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b,c\n1,2,x\n", "utf-8")
+    (folder / "2.csv").write_text("﻿b,c,a\n5,y,6\n7,z,8\n", "utf-8")
+    df = read_table(spark, str(folder), "csv")
+    assert df.columns[:3] == ["a", "b", "c"] and dict(df.dtypes)["a"] == "bigint"
+    assert sorted(r[:3] for r in df.collect()) == [(1, 2, "x"), (6, 5, "y"), (8, 7, "z")]
+    (folder / "3.csv").write_text("c,a,b\nq,$1,200,3\nw,5,6\n", "utf-8")  # a broken amount in another order
+    assert sorted(r[:3] for r in read_table(spark, str(folder), "csv").collect()) == [
+        ("$1,200", "3", "q"), ("1", "2", "x"), ("5", "6", "w"), ("6", "5", "y"), ("8", "7", "z")]
+    (folder / "4.csv").write_text("a,b,other\n1,2,3\n", "utf-8")
+    with pytest.raises(ValueError, match="other"):
+        read_table(spark, str(folder), "csv")
+
+
+def test_an_unclosed_quote_does_not_swallow_lines(spark, csv_file):
+    df = read_table(spark, csv_file('a,b\n1,"x\n2,y\n3,z\n'))
+    assert sorted(r[:2] for r in df.collect()) == [("1", "x"), ("2", "y"), ("3", "z")]
+    closed = read_table(spark, csv_file('a,b\n1,"x\n2,y"\n3,z\n'))
+    assert sorted(r[:2] for r in closed.collect()) == [(1, "x\n2,y"), (3, "z")]
