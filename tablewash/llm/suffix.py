@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +147,10 @@ class Shard:
 
     def blocks(self, rounds: int) -> np.ndarray:
         """The block of each suffix after so many rounds of refinement; 0: it has left."""
+        return list(self.refined(rounds))[-1]
+
+    def refined(self, rounds: int) -> Iterator[np.ndarray]:
+        """The blocks after each round."""
         ids = np.ones(len(self.lf), np.uint64)
         for k in range(1, rounds + 1):
             go = (ids != 0) & (self.bwt != 0)
@@ -156,19 +161,21 @@ class Shard:
                 names, which = np.unique(ids[ids != 0], return_inverse=True)
                 if len(names):
                     ids[ids != 0] *= self.answer(k)[which].astype(np.uint64)
-        return ids
+            yield ids
 
     def anchors(self, lengths: Lengths) -> dict[str, np.ndarray]:
         """Anchors for all lengths, one length after the other."""
         prefix = Substrings(self.data)
-        each = [self._anchors(length, rounds, prefix) for length, rounds in lengths]
+        most = max(rounds for _, rounds in lengths)
+        after = dict(enumerate(self.refined(most), 1))
+        each = [self._anchors(length, self.at[after[rounds] != 0], prefix) for length, rounds in lengths]
         return {**{c: np.concatenate([a[c] for a in each]) for c in each[0]}, "prefix": prefix}
 
-    def _anchors(self, length: int, rounds: int, prefix: Substrings) -> dict[str, np.ndarray]:
+    def _anchors(self, length: int, at: np.ndarray, prefix: Substrings) -> dict[str, np.ndarray]:
         """Anchors in the repeated intervals with the range [lo, hi] of the strings that have them first."""
         inner = WINDOW - 1
         starts = np.sort(self.at[self.at >= 0]).astype(np.int64)
-        p = np.sort(self.at[self.blocks(rounds) != 0]).astype(np.int64)
+        p = np.sort(at).astype(np.int64)
         begin = np.concatenate([[0], self.ends[:-1]])
         text = np.searchsorted(self.ends, p, "right")
         before = np.concatenate([[0], starts])[np.searchsorted(starts, p)]
@@ -181,15 +188,20 @@ class Shard:
         return {"lo": lo, "hi": hi, "core": core, "whole": whole & ~np.uint64(1), "length": np.full(len(p), length)}
 
 
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of substring hashes, and of its inverse."""
+    base = np.uint64(0xD1342543DE82EF95)
+    return tokens.powers(n, base), tokens.powers(n, np.uint64(pow(int(base), -1, 1 << 64)))
+
+
 class Substrings:
     """Hashes of any substrings of one byte string, by prefix sums."""
 
     def __init__(self, data: np.ndarray):
-        base = np.uint64(0xD1342543DE82EF95)
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        ahead, self.back = _powers(1 << (len(data) + 1).bit_length())
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(tokens.BYTE_VALUES[data] * tokens.powers(len(data), base)[:len(data)], out=self.sums[1:])
-        self.back = tokens.powers(len(data) + 1, inverse)
+        np.cumsum(tokens.BYTE_VALUES[data] * ahead[:len(data)], out=self.sums[1:])
 
     def hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return tokens.mix((self.sums[end] - self.sums[begin]) * self.back[begin] + (end - begin).astype(np.uint64))
@@ -206,17 +218,26 @@ def block_names(shard: Shard, round_: int, lengths: Lengths) -> np.ndarray:
     return _named(ids[ids != 0])
 
 
+def _pair_kinds(core: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct pair stands first, in the order of the pairs; which pair each entry is; how often each occurs."""
+    order = np.lexsort((whole, core))
+    c, w = core[order], whole[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return order[first], which, np.diff(np.append(first, len(order)))
+
+
 def anchor_names(shard: Shard, round_: int, lengths: Lengths) -> np.ndarray:
     a = shard.anchors(lengths)
-    pairs, counts = np.unique(np.stack([a["core"], a["whole"]], axis=1), axis=0, return_counts=True)
-    pairs[:, 1] |= (counts > 1).astype(np.uint64)
-    return pairs
+    first, _, counts = _pair_kinds(a["core"], a["whole"])
+    return np.stack([a["core"][first], a["whole"][first] | (counts > 1).astype(np.uint64)], axis=1)
 
 
 def _anchor_answers(shard: Shard, a: dict) -> np.ndarray:
-    pairs = np.stack([a["core"], a["whole"]], axis=1)
-    which = np.unique(pairs, axis=0, return_inverse=True)[1].ravel() if len(pairs) else np.zeros(0, np.int64)
-    return shard.answer(ROUNDS + 1)[which] if len(pairs) else np.zeros(0, np.uint8)
+    return shard.answer(ROUNDS + 1)[_pair_kinds(a["core"], a["whole"])[1]]
 
 
 def _strings(a: dict, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,8 +258,7 @@ def repeated_names(table: pa.Table) -> pa.Table:
     packs = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("names")]
     names = np.concatenate(packs)
     plain, which, counts = np.unique(names & ~np.uint64(1), return_inverse=True, return_counts=True)
-    many = counts > 1
-    np.logical_or.at(many, which, (names & np.uint64(1)).astype(bool))
+    many = (counts > 1) | (np.bincount(which, weights=names & np.uint64(1), minlength=len(counts)) > 0)
     return _answers(table, [len(x) for x in packs], many[which].astype(np.uint8))
 
 
@@ -248,12 +268,9 @@ def compared_anchors(table: pa.Table) -> pa.Table:
     packs = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2) for x in table.column("names")]
     pairs = np.concatenate(packs)
     core = np.unique(pairs[:, 0], return_inverse=True)[1]
-    plain = np.stack([core.astype(np.uint64), pairs[:, 1] & ~np.uint64(1)], axis=1)
-    kinds, first, whole, counts = np.unique(plain, axis=0, return_index=True, return_inverse=True, return_counts=True)
-    whole = whole.ravel()
-    many = counts > 1
-    np.logical_or.at(many, whole, (pairs[:, 1] & np.uint64(1)).astype(bool))
-    mixed = np.bincount(kinds[:, 0].astype(np.int64))[core] > 1
+    first, whole, counts = _pair_kinds(pairs[:, 0], pairs[:, 1] & ~np.uint64(1))
+    many = (counts > 1) | (np.bincount(whole, weights=pairs[:, 1] & np.uint64(1), minlength=len(first)) > 0)
+    mixed = np.bincount(core[first])[core] > 1
     said = np.where(many[whole], 1, np.where(mixed, 2, 0)).astype(np.uint8)
     leader = np.zeros(len(pairs), bool)
     leader[first] = True
@@ -299,13 +316,11 @@ def _covered(shard: Shard, lengths: Lengths) -> list[np.ndarray]:
     sure = (said == 1) | (said == 3)
     out = []
     for length, _ in lengths:
-        change = np.zeros(len(shard.data) + 1, np.int32)
         all_of, single = sure & (a["length"] == length), begin[repeated & (sizes == length)]
-        np.add.at(change, a["lo"][all_of], 1)
-        np.add.at(change, a["hi"][all_of] + length, -1)
-        np.add.at(change, single, 1)
-        np.add.at(change, single + length, -1)
-        out.append(np.cumsum(change[:-1]) > 0)
+        begins = np.concatenate([a["lo"][all_of], single])
+        ends = np.concatenate([a["hi"][all_of], single]) + length
+        n = len(shard.data) + 1
+        out.append(np.cumsum(np.bincount(begins, minlength=n) - np.bincount(ends, minlength=n))[:-1] > 0)
     return out
 
 
