@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewash import CleaningConfig, clean, compute_diff, lookup_join, profile, read_table, run_job, write_table
-from tablewash.functions import dates, text
+from tablewash.functions import dates, similarity, text
 from tablewash.operators import detect, headers, values
 from tablewash.operators.checkpoints import ensure_checkpoint_dir
 from tablewash.operators.dedupe import dedupe_column, dedupe_rows
@@ -70,6 +70,10 @@ LOOKUP_TYPO = f"""CASE WHEN p_partkey % 50 = 0 THEN 'special reserve ' || {PART_
         WHEN p_partkey % 25 = 3 THEN substr({PART_LABEL}, 1, 3) || substr({PART_LABEL}, 8)
         WHEN p_partkey % 25 = 4 THEN 'xx' || p_partkey || 'yy' ELSE {PART_TYPO} END"""
 
+# What a label is compared with: itself, its words in another order, a longer text around it, one more word.
+PART_OTHER = f"""CASE p_partkey % 4 WHEN 0 THEN {PART_LABEL} WHEN 1 THEN p_brand || ' ' || p_name
+        WHEN 2 THEN 'special reserve ' || {PART_LABEL} || ' extra' ELSE p_name || ' deluxe ' || p_brand END"""
+
 
 def dirty(name: str, key: str) -> str:
     return DIRTY[name].replace("{k}", key)
@@ -223,6 +227,14 @@ def lookup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.df.select("p_partkey", "label", "ord", "found", MATCHED)
 
 
+def score_query(name: str, scorer) -> Query:
+    """A similarity of a messy label and another form of it, over the whole table."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pairs = table(spark, sf_dir, "part").select("p_partkey", F.expr(PART_TYPO).alias("a"), F.expr(PART_OTHER).alias("b"))
+        return pairs.select("p_partkey", F.round(scorer(F.col("a"), F.col("b")), 6).alias(name))
+    return run
+
+
 def _before_after(spark: SparkSession, sf_dir: str):
     raw = with_row_id(
         with_dirty(table(spark, sf_dir, "customer"), "c_custkey", "raw_null", "raw_email", "raw_phone", "n_null"), "c_custkey"
@@ -396,6 +408,9 @@ def queries() -> dict[str, Query]:
         "lookup_exact": lookup_exact,
         "lookup_match_count": lookup_match_count,
         "lookup_fuzzy": lookup_fuzzy,
+        "indel_ratio": score_query("ratio", similarity.indel_ratio),
+        "partial_ratio": score_query("partial", similarity.partial_ratio),
+        "wratio": score_query("score", similarity.wratio),
         "diff_cells": diff_cells,
         "diff_stats": diff_stats,
         "diff_removed": diff_removed,
@@ -609,6 +624,53 @@ _FUZZY_LOOKUP_SQL = f"""WITH RECURSIVE m AS (SELECT p_partkey, {LOOKUP_TYPO} AS
         FROM m LEFT JOIN found f USING (k) LEFT JOIN part p ON p.p_partkey = f.ord"""
 
 
+def _windows_sql(p: str) -> str:
+    """The best ratio ``best`` of the shorter of the texts ``x`` and ``y`` in the table ``far`` against windows of the longer."""
+    return f"""{p}sides AS (SELECT DISTINCT x, y, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS short,
+            CASE WHEN length(x) <= length(y) THEN y ELSE x END AS long FROM {p}far),
+        {p}starts AS (SELECT short, long, unnest(generate_series(2 - length(short), length(long))) AS i FROM (SELECT DISTINCT short, long FROM {p}sides)),
+        {p}windows AS MATERIALIZED (SELECT short, long, substr(long, greatest(i, 1), i + length(short) - greatest(i, 1)) AS w FROM {p}starts),
+        {p}todo AS MATERIALIZED (SELECT DISTINCT short AS x, w AS y FROM {p}windows), {_lcs_sql(p)},
+        {p}bests AS (SELECT short, long, max((1 - (length(x) + length(y) - 2 * n) / (length(x) + length(y))) * 100) AS best
+            FROM {p}windows JOIN {p}lcs ON x = short AND y = w GROUP BY short, long),
+        {p}partial AS MATERIALIZED (SELECT x, y, best FROM {p}sides JOIN {p}bests USING (short, long))"""
+
+
+_PAIRS_SQL = f"WITH RECURSIVE t AS (SELECT p_partkey, {PART_TYPO} AS a, {PART_OTHER} AS b FROM part)"
+_INDEL_SQL = f"""{_PAIRS_SQL}, todo AS MATERIALIZED (SELECT DISTINCT a AS x, b AS y FROM t), {_lcs_sql("")}
+        SELECT p_partkey, round((1 - (length(a) + length(b) - 2 * n) / (length(a) + length(b))) * 100, 6) AS ratio FROM t JOIN lcs ON x = a AND y = b"""
+_PARTIAL_SQL = f"""{_PAIRS_SQL}, far AS MATERIALIZED (SELECT DISTINCT a AS x, b AS y FROM t), {_windows_sql("")}
+        SELECT p_partkey, round(best, 6) AS partial FROM t JOIN partial ON x = a AND y = b"""
+
+
+def _wratio_sql() -> str:
+    def words(column: str) -> str:
+        return f"list_sort(list_filter(string_split_regex({column}, '[{_WS}]+'), lambda s: s <> ''))"
+
+    def apart(x: str, y: str) -> str:
+        return f"array_to_string(list_sort(list_filter(list_distinct({x}), lambda w: NOT list_contains({y}, w))), ' ')"
+
+    return f"""{_PAIRS_SQL},
+        w AS (SELECT *, {words("a")} AS la, {words("b")} AS lb, 2 * greatest(length(a), length(b)) >= 3 * least(length(a), length(b)) AS wide,
+            CASE WHEN greatest(length(a), length(b)) <= 8 * least(length(a), length(b)) THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS scale FROM t),
+        v AS MATERIALIZED (SELECT *, array_to_string(la, ' ') AS ta, array_to_string(lb, ' ') AS tb, {apart("la", "lb")} AS da, {apart("lb", "la")} AS db,
+            length(array_to_string(list_filter(list_distinct(la), lambda w: list_contains(lb, w)), ' ')) AS shared FROM w),
+        todo AS MATERIALIZED (SELECT a AS x, b AS y FROM v UNION SELECT ta, tb FROM v WHERE NOT wide UNION SELECT da, db FROM v WHERE NOT wide), {_lcs_sql("")},
+        f_far AS MATERIALIZED (SELECT a AS x, b AS y FROM v WHERE wide UNION SELECT ta, tb FROM v WHERE wide AND shared = 0
+            UNION SELECT da, db FROM v WHERE wide AND shared = 0), {_windows_sql("f_")},
+        r AS (SELECT x, y, (1 - (length(x) + length(y) - 2 * n) / greatest(length(x) + length(y), 1)) * 100 AS ratio FROM lcs),
+        u AS (SELECT v.*, shared + least(shared, 1) + length(da) AS na, shared + least(shared, 1) + length(db) AS nb,
+            ab.ratio AS ratio, tt.ratio AS sorted, dd.n AS common, p.best AS inner_best, pt.best AS sorted_best, pd.best AS rest_best
+            FROM v JOIN r ab ON ab.x = a AND ab.y = b LEFT JOIN r tt ON tt.x = ta AND tt.y = tb LEFT JOIN lcs dd ON dd.x = da AND dd.y = db
+            LEFT JOIN f_partial p ON p.x = a AND p.y = b LEFT JOIN f_partial pt ON pt.x = ta AND pt.y = tb LEFT JOIN f_partial pd ON pd.x = da AND pd.y = db)
+        SELECT p_partkey, round(CASE WHEN wide THEN greatest(ratio, scale * inner_best,
+                0.95::DOUBLE * scale * CASE WHEN shared > 0 THEN 100 ELSE greatest(sorted_best, rest_best) END)
+            ELSE greatest(ratio, 0.95::DOUBLE * sorted, 0.95::DOUBLE * CASE WHEN shared > 0 AND (da = '' OR db = '') THEN 100
+                ELSE greatest((1 - (length(da) + length(db) - 2 * common) / (na + nb)) * 100,
+                    CASE WHEN shared > 0 THEN (1 - (1 + length(da)) / (shared + na)) * 100 ELSE 0 END,
+                    CASE WHEN shared > 0 THEN (1 - (1 + length(db)) / (shared + nb)) * 100 ELSE 0 END) END) END, 6) AS score FROM u"""
+
+
 def _job_diff_sql() -> str:
     """Cells of the cleaning job that changed: raw text beside cleaned text."""
     cells = {
@@ -658,6 +720,9 @@ def oracle_sql() -> dict[str, str]:
             row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
         "dedupe_hot_key": f"""SELECT o_orderkey, dup_key FROM (SELECT *, row_number() OVER (PARTITION BY dup_key ORDER BY o_orderkey) AS rn
             FROM (SELECT o_orderkey, {dirty("dup_key", "o_orderkey")} AS dup_key FROM orders)) WHERE rn = 1""",
+        "indel_ratio": _INDEL_SQL,
+        "partial_ratio": _PARTIAL_SQL,
+        "wratio": _wratio_sql(),
         "dedupe_fuzzy_names": _FUZZY_NAMES_SQL,
         "lookup_fuzzy": _FUZZY_LOOKUP_SQL,
         "lookup_exact": _LOOKUP_SQL + "SELECT o_orderkey, o_orderstatus, main_key, c_custkey, o_orderstatus_lookup, _matched FROM j",
