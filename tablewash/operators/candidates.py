@@ -261,7 +261,8 @@ def ratio_compatible(
 
 # A key with more rows than this is spread over several tasks.
 HOT_KEY_ROWS = 4096
-MOST_SALTS = 256
+# Parts of a hot key in which its rows look up how far they are to be spread.
+LOOKUP_PARTS = 64
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -272,17 +273,20 @@ def salted_join(many: DataFrame, few: DataFrame, spread: str, *also: str) -> Dat
     """Join two gram tables on ``key`` and the columns ``also``, with the rows of hot keys spread over salts.
 
     Rows of ``many`` take a salt by the hash of ``spread``; rows of ``few`` under
-    a hot key are repeated for each of its salts.  The partition number is
-    fixed: a small table can still mean many comparisons.
+    a hot key are repeated for each of its salts, as many as its rows ask for.
+    The rows of a hot key look its salts up in parts, so that this join does not
+    bring them together either.  The partition number is fixed: a small table can
+    still mean many comparisons.
     """
     hot = (
         many.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KEY_ROWS)
-        .select(
-            "key", F.least(F.ceil(F.col("n") / HOT_KEY_ROWS), F.lit(MOST_SALTS)).cast("int").alias("salts")
-        )
+        .select("key", F.ceil(F.col("n") / HOT_KEY_ROWS).cast("int").alias("salts"))
     )
+    in_parts = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_PARTS - 1))))
     salts = F.coalesce("salts", F.lit(1))
-    left = many.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
+    part = F.pmod(F.xxhash64(F.lit("part"), spread), F.lit(LOOKUP_PARTS)).cast("int")
+    left = many.withColumn("part", part).join(in_parts, ["key", "part"], "left").drop("part")
+    left = left.withColumn("salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
     right = few.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     left = left.drop("salts").repartition(shuffle_partitions(many), "key", "salt")
     return left.join(right.drop("salts"), ["key", "salt", *also])

@@ -23,7 +23,8 @@ def json_safe(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return iso_text(c)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(c), c)
+        endless = F.lit(float("inf"))
+        return F.when(~F.isnan(c) & (F.abs(c) != endless), c)
     return c
 
 

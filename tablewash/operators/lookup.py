@@ -32,8 +32,10 @@ from tablewash.operators.headers import ROW_ID
 from tablewash.operators.ordering import row_id
 
 KEY, MATCHED = "_key", "_matched"
-# Falling score cutoffs of the fuzzy search; a key found at one is not searched at the next.
-TIERS = (90, P.LOOKUP_CUTOFF)
+# The score of a contained key.  A looser search begins here; a key found at it is not searched further down.
+CONTAINED = 90
+# At and below this score the longest partners, over eight times as long, would count too.
+LEAST_THRESHOLD = 60
 
 
 @dataclass(frozen=True)
@@ -50,21 +52,12 @@ def added_names(main: DataFrame, lookup: DataFrame, key_sec: str) -> dict[str, s
     A name the main table has becomes ``X_lookup``, then ``X_lookup_1``, ...;
     names are checked against both tables.
     """
-    main_names = {c.lower() for c in headers.business_columns(main)}
+    ours = {c.lower() for c in headers.business_columns(main)}
     wanted = [c for c in headers.business_columns(lookup) if c != key_sec]
-    taken = set(main_names) | {c.lower() for c in wanted if c.lower() not in main_names}
-    result = {}
-    for c in wanted:
-        if c.lower() not in main_names:
-            result[c] = c
-            continue
-        name, n = f"{c}_lookup", 0
-        while name.lower() in taken:
-            n += 1
-            name = f"{c}_lookup_{n}"
-        taken.add(name.lower())
-        result[c] = name
-    return result
+    free = [c for c in wanted if c.lower() not in ours]
+    shared = [c for c in wanted if c.lower() in ours]
+    renamed = headers.unique_names([f"{c}_lookup" for c in shared], taken=[*ours, *free])
+    return {c: dict(zip(shared, renamed)).get(c, c) for c in wanted}
 
 
 def key_of(df: DataFrame, column: str) -> Column:
@@ -114,9 +107,9 @@ def _meetings(main_keys: DataFrame, lookup_keys: DataFrame, cutoff: int, way: st
                 100 * apart <= (100 - cutoff) * (short["len"] + long["len"])
             )
         else:
-            # A winning window covers all but 2/7 of the shorter text, at 90 all of it.
+            # A winning window covers at least this part of the shorter text: 5/7 of it at 75, at 90 all of it.
             lacking = bag_excess(short["mask"], long["mask"])
-            covered = lacking == 0 if cutoff >= 90 else 7 * lacking <= 2 * short["len"]
+            covered = (180 - cutoff) * lacking <= 2 * (90 - cutoff) * short["len"]
             fits = (2 * long["len"] >= 3 * short["len"]) & (long["len"] <= 8 * short["len"]) & covered
         return joined.where(fits).select("key_text", F.col("r_key_text").alias("lookup_key"))
 
@@ -144,18 +137,20 @@ def scored_candidates(main_keys: DataFrame, lookup_keys: DataFrame, cutoff: int)
         .where(F.col("distance") <= allowed)
         .select("key_text", "lookup_key", ((1 - F.col("distance") / total) * 100).alias("score"))
     )
+    if cutoff > CONTAINED:
+        return by_ratio
     main_shorter = F.length(a) <= F.length(b)
     windows = _meetings(main_keys, lookup_keys, cutoff, "window").select(
         "key_text", "lookup_key",
         F.when(main_shorter, a).otherwise(b).alias("short"), F.when(main_shorter, b).otherwise(a).alias("long"),
     )
-    if cutoff >= 90:
+    if cutoff == CONTAINED:
         by_window = windows.where(F.contains("long", "short")).select(
             "key_text", "lookup_key", F.lit(90.0).alias("score")
         )
     else:
-        # The best window leaves at most 2/7 of the shorter text unmatched.
-        reachable = F.floor(F.length("long") - 3 * F.length("short") / 7)
+        # The letters outside the common ones, which make up at least cutoff / (180 - cutoff) of the shorter text.
+        reachable = F.floor(F.length("long") + F.length("short") * (180 - 3 * cutoff) / (180 - cutoff))
         score = F.col("partial") * 0.9
         by_window = (
             windows.where(similarity.no_farther(F.col("short"), F.col("long"), reachable))
@@ -167,8 +162,8 @@ def scored_candidates(main_keys: DataFrame, lookup_keys: DataFrame, cutoff: int)
     return by_ratio.unionByName(by_window)
 
 
-def fuzzy_key_map(main_keys: DataFrame, lookup_keys: DataFrame) -> DataFrame:
-    """(key_text, lookup_key) best match with score >= 75; the earliest key wins a tie.
+def fuzzy_key_map(main_keys: DataFrame, lookup_keys: DataFrame, threshold: int = P.LOOKUP_CUTOFF) -> DataFrame:
+    """(key_text, lookup_key) best match with a score of ``threshold`` or more; the earliest key wins a tie.
 
     ``main_keys`` has ``key_text``; ``lookup_keys`` has ``key_text`` and ``ord``.
     The search runs at falling cutoffs: close matches are found with long, rare
@@ -178,7 +173,8 @@ def fuzzy_key_map(main_keys: DataFrame, lookup_keys: DataFrame) -> DataFrame:
     remaining = cut(main_keys)
     order = lookup_keys.select(F.col("key_text").alias("lookup_key"), "ord")
     found = []
-    for i, cutoff in enumerate(TIERS):
+    tiers = (CONTAINED, threshold) if threshold < CONTAINED else (threshold,)
+    for i, cutoff in enumerate(tiers):
         best = cut(
             scored_candidates(remaining, lookup_keys.select("key_text"), cutoff)
             .join(order, "lookup_key")
@@ -187,21 +183,25 @@ def fuzzy_key_map(main_keys: DataFrame, lookup_keys: DataFrame) -> DataFrame:
             .select("key_text", F.col("b.lookup_key").alias("lookup_key"))
         )
         found.append(best)
-        if i + 1 < len(TIERS):
+        if i + 1 < len(tiers):
             remaining = cut(remaining.join(best, "key_text", "left_anti"))
     return reduce(DataFrame.unionByName, found)
 
 
 def lookup_join(
-    main: DataFrame, lookup: DataFrame, key_main: str, key_sec: str, fuzzy: bool = False
+    main: DataFrame, lookup: DataFrame, key_main: str, key_sec: str, fuzzy: bool = False,
+    threshold: int = P.LOOKUP_CUTOFF,
 ) -> LookupResult:
     """Left join ``lookup`` into ``main`` on the normalised key; row count unchanged.
 
     NULL and empty keys never match, the first lookup row of a key wins, and the
     lookup key column is not added.  With ``fuzzy``, a key without an exact
-    partner takes the most similar lookup key.  The boolean ``_matched`` column
+    partner takes the most similar lookup key, if its score reaches ``threshold``
+    (a whole number above 60).  The boolean ``_matched`` column
     tells which rows were enriched; ``strip_matched`` removes it.
     """
+    if not (isinstance(threshold, int) and LEAST_THRESHOLD < threshold <= 100):
+        raise ValueError(f"the threshold must be a whole number from {LEAST_THRESHOLD + 1} to 100, not {threshold!r}")
     names = added_names(main, lookup, key_sec)
     firsts = first_per_key(lookup, key_sec)
     keyed = main.withColumn(KEY, key_of(main, key_main))
@@ -218,7 +218,7 @@ def lookup_join(
             .distinct()
             .join(exact, "key_text", "left_anti")
         )
-        found = fuzzy_key_map(open_keys, exact)
+        found = fuzzy_key_map(open_keys, exact, threshold)
         near = found.join(partner, found["lookup_key"] == partner[KEY]).select(
             F.col("key_text").alias(KEY), *names.values(), MATCHED
         )

@@ -11,6 +11,7 @@ from tablewash import CleaningConfig, clean, lookup_join
 from tablewash.functions import similarity
 from tablewash.operators.candidates import ratio_rule, window_rule
 from tablewash.operators.fuzzy_dedupe import dedupe_fuzzy
+from tablewash.operators.ordering import with_row_id
 from tests import model
 
 
@@ -197,3 +198,38 @@ def test_chains_are_decided_by_pointer_doubling(spark):
     assert settle(300, extra)[0] == scan(300, extra)
     waiting = settle(50, incomplete=[20])[0]
     assert all(waiting[i] == scan(50)[i] for i in range(20)) and waiting[20] == fd.OPEN and all(waiting[i] == fd.OPEN for i in range(21, 50))
+
+
+@pytest.mark.parametrize("threshold", [62, 83, 90, 94])
+def test_lookup_threshold(spark, threshold):
+    rnd = random.Random(threshold)
+    keys = ["".join(rnd.choice("abcd") for _ in range(rnd.choice([3, 5, 8, 12, 20]))) for _ in range(60)]
+    asked = []
+    for _ in range(60):
+        k = rnd.choice(keys)
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.randrange(len(k))
+            k = k[:i] + rnd.choice(["", "x", "ab"]) + k[i + 1:]
+        asked.append(rnd.choice([k, "yy" + k + "zzz", k + k]) or "q")
+    main_df = spark.createDataFrame(list(enumerate(asked)), "i int, k string")
+    sec = spark.createDataFrame(list(enumerate(keys)), "j int, key string")
+    got = lookup_join(with_row_id(main_df, "i"), with_row_id(sec, "j"), "k", "key", fuzzy=True, threshold=threshold).df
+    firsts = {}
+    for j, key in enumerate(keys):
+        firsts.setdefault(key, j)
+    for row in got.collect():
+        scores = {j: model.weighted(row.k, key) for key, j in firsts.items()}
+        best = max(scores.values())
+        if row.k in firsts:
+            assert row.j == firsts[row.k]
+        elif best < threshold - model.CUT:
+            assert row.j is None
+        else:
+            assert scores[row.j] == pytest.approx(best)
+
+
+def test_lookup_threshold_is_checked(spark):
+    df = with_row_id(spark.range(1).withColumn("k", F.lit("a")), "id")
+    for wrong in (60, 101, 75.5):
+        with pytest.raises(ValueError, match="threshold"):
+            lookup_join(df, df, "k", "k", fuzzy=True, threshold=wrong)
