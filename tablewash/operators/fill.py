@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Collection, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tablewash.operators import headers
 
-# Value ranges with at most this many rows are ranked directly.
-DIRECT_ROWS = 1_000_000
 PERCENTILE_ACCURACY = 10_000
 
 
@@ -81,56 +77,30 @@ def _pinch(df: DataFrame, ranks: Sequence[_Rank], accuracy: int) -> None:
         r.narrow(*brackets[i], *counts[4 * i : 4 * i + 4])
 
 
-def _rank_directly(df: DataFrame, ranks: Sequence[_Rank]) -> None:
-    """Pick the ranks from ranges of bounded size, pre-aggregated by value."""
-    def pick(r: _Rank) -> DataFrame:
-        counts = (
-            df.where(r.interior())
-            .groupBy(F.col(f"`{r.column}`").cast("double").alias("v"))
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        upto = F.sum("n").over(Window.orderBy("v"))
-        return (
-            counts.select("v", upto.alias("upto"))
-            .where(F.col("upto") > r.rank - r.below)
-            .agg(F.min("v").alias("v"))
-        )
-
-    found = reduce(
-        DataFrame.unionAll,
-        [pick(r).select(F.lit(i).alias("i"), "v") for i, r in enumerate(ranks)],
-    ).collect()
-    for row in found:
-        ranks[row["i"]].value = row["v"]
-
-
 def exact_medians(
     df: DataFrame,
     counts: dict[str, int],
-    direct_rows: int = DIRECT_ROWS,
+    direct_rows: int = 0,
     accuracy: int = PERCENTILE_ACCURACY,
 ) -> dict[str, float]:
     """Exact medians of the columns in ``counts`` (column -> number of non-NULLs).
 
-    No task ever holds a whole column: a quantile sketch brackets the middle
-    ranks, counts confirm the bracket, and only a range of at most
-    ``direct_rows`` rows is ranked, after grouping equal values.
+    No task ever holds or sorts a column: a quantile sketch brackets the middle
+    ranks of all columns in one scan, counts in a second one say on which side of
+    the bracket's ends each rank lies, and this repeats inside the bracket.  Every
+    round settles a rank or takes a value at least off its range, and a sketch of
+    few rows is exact, so two or three rounds do for any size.  ``direct_rows``
+    is kept for callers that pass it and has no effect.
     """
+    del direct_rows
     columns = [c for c, n in counts.items() if n]
     ranks = {
         (c, k): _Rank(c, k, counts[c])
         for c in columns
         for k in {(counts[c] - 1) // 2, counts[c] // 2}
     }
-    while True:
-        open_ranks = [r for r in ranks.values() if r.value is None]
-        large = [r for r in open_ranks if r.inside > direct_rows]
-        if large:
-            _pinch(df, large, accuracy)
-            continue
-        if open_ranks:
-            _rank_directly(df, open_ranks)
-        break
+    while still_open := [r for r in ranks.values() if r.value is None]:
+        _pinch(df, still_open, accuracy)
     return {
         c: (float(ranks[c, (counts[c] - 1) // 2].value) + float(ranks[c, counts[c] // 2].value)) / 2
         for c in columns
