@@ -27,7 +27,7 @@ from tablewash.operators.fill import fill_numeric
 from tablewash.operators.fuzzy_dedupe import dedupe_fuzzy
 from tablewash.operators.headers import ROW_ID
 from tablewash.operators.lookup import MATCHED, match_count
-from tablewash.operators.ordering import head, with_row_id, without_row_id
+from tablewash.operators.ordering import head, row_numbers, with_row_id, without_row_id
 
 try:
     import corpus_pipeline
@@ -368,11 +368,65 @@ def _clean_customer(spark: SparkSession, sf_dir: str, job=clean):
     return job(main, config, nation, order_by="Cust Key", lookup_order_by="n_nationkey")
 
 
+# Shapes of a date by key, as SQL that both engines read; each gives day {k} of March 2023.
+DATE_SHAPES = """CASE o_orderkey % 8 WHEN 0 THEN '2023/3/' || {d} WHEN 1 THEN {d} || '.3.2023' WHEN 2 THEN {d} || '/3/23'
+        WHEN 3 THEN '202303' || lpad(CAST({d} AS STRING), 2, '0') WHEN 4 THEN 'Mar ' || {d} || ', 2023'
+        WHEN 5 THEN {d} || ' March 2023' WHEN 6 THEN '2023-03-' || lpad(CAST({d} AS STRING), 2, '0') || ' 14:30' ELSE 'soon' END"""
+_DAY = "(13 + o_orderkey % 15)"
+
+
+def parse_date_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(DATE_SHAPES.replace("{d}", _DAY)).alias("raw_date"))
+    return df.select("o_orderkey", dates.parse_date_mixed(F.col("raw_date")).alias("parsed"))
+
+
+def clean_orders(method: str) -> Query:
+    """Dates, a numeric fill over gaps and NaN, whole-row duplicates: 280 kinds of rows, each many times."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = table(spark, sf_dir, "orders").select(
+            "o_orderkey", F.expr(dirty("n_null", "(o_orderkey % 280)")).alias("Amount Left"),
+            F.expr("CASE WHEN o_orderkey % 5 = 0 THEN CAST('NaN' AS DOUBLE) ELSE o_orderkey % 280 END").alias("Weight"),
+            F.expr("lpad(CAST(1 + o_orderkey % 28 AS STRING), 2, '0') || '/03/2023'").alias("Order Date"),
+            F.expr("'S' || (o_orderkey % 5)").alias("State"),
+        )
+        keyed = with_row_id(df, "o_orderkey").drop("o_orderkey")
+        config = CleaningConfig(standardize_columns=True, fix_dates=True, remove_duplicates=True, fill_missing={"numeric": method}, detect_sample="all")
+        out = clean(keyed, config).df
+        return out.select("order_date", "state", *[F.round(c, 6).alias(c) for c in ("amount_left", "weight")])
+    return run
+
+
+def clean_merge_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup table from a CSV file, merged by near keys, its columns left as they are."""
+    nation = table(spark, sf_dir, "nation").select(F.expr("replace(n_name, '_', ' ')").alias("Title"), F.concat("n_name", F.lit(" *#")).alias("Label"))
+    folder = shared_folder(spark)
+    write_table(nation, folder, "csv")
+    main = table(spark, sf_dir, "customer").select("c_custkey", F.expr("'Natiion-' || c_nationkey").alias("Country"), F.expr("c_mktsegment || ' *#'").alias("Segment"))
+    config = CleaningConfig(merge_active=True, merge_key_main="Country", merge_key_sec="Title", merge_fuzzy=True,
+                            clean_merged_columns=False, remove_special_chars=True)
+    return clean(main, config, read_table(spark, folder, "csv"), order_by="c_custkey").df
+
+
+def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written and read back by format; the place in the file numbers the rows."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.expr(dirty("n_null", "c_custkey")).cast("double").alias("n_null"))
+    folder = shared_folder(spark)
+    write_table(df.repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey"), folder, "parquet")
+    back = read_table(spark, folder, "parquet")
+    return without_row_id(back.join(row_numbers(back), ROW_ID))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The whole cleaning job on the smallest tables."""
     return clean_table(spark, "/root/testdata/sf0.001")
 
 
+ARABIC_PARTS = {
+    "arabic_marks": text.remove_arabic_marks, "arabic_tatweel": text.remove_tatweel, "arabic_alef": text.unify_alef,
+    "arabic_yeh": text.unify_yeh, "arabic_digits": text.arabic_digits_to_ascii,
+}
+
+
 def queries() -> dict[str, Query]:
     q = column_query
     return {
@@ -423,6 +477,12 @@ def queries() -> dict[str, Query]:
         "records_json": records_json,
         "csv_scan": csv_scan,
         "csv_repair": csv_repair,
+        "parse_date_shapes": parse_date_shapes,
+        **{name: q("customer", "c_custkey", "raw_ar", "cleaned", fn) for name, fn in ARABIC_PARTS.items()},
+        "clean_fill_mean": clean_orders("mean"),
+        "clean_fill_median": clean_orders("median"),
+        "clean_merge_raw": clean_merge_raw,
+        "parquet_round_trip": parquet_round_trip,
         "clean_table": clean_table,
         "clean_log": clean_log,
         "job_log": job_log,
@@ -671,6 +731,13 @@ def _wratio_sql() -> str:
                     CASE WHEN shared > 0 THEN (1 - (1 + length(db)) / (shared + nb)) * 100 ELSE 0 END) END) END, 6) AS score FROM u"""
 
 
+def _clean_orders_sql(fill: str) -> str:
+    return f"""WITH t AS (SELECT {dirty("n_null", "(o_orderkey % 280)")} AS a, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderkey % 280 AS DOUBLE) END AS w,
+            make_timestamp(2023, 3, 1 + o_orderkey % 28, 0, 0, 0.0) AS order_date, 'S' || (o_orderkey % 5) AS state FROM orders),
+        f AS (SELECT {fill}(a) AS fa, {fill}(w) AS fw FROM t)
+        SELECT DISTINCT order_date, state, round(coalesce(CAST(a AS DOUBLE), fa), 6) AS amount_left, round(coalesce(w, fw), 6) AS weight FROM t, f"""
+
+
 def _job_diff_sql() -> str:
     """Cells of the cleaning job that changed: raw text beside cleaned text."""
     cells = {
@@ -746,6 +813,19 @@ def oracle_sql() -> dict[str, str]:
         "csv_scan": f"""SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,
             {dirty("n_null", "o_orderkey")} AS n_null, nullif({dirty("raw_money", "o_orderkey")}, 'n/a') AS raw_money FROM orders""",
         "csv_repair": _CSV_REPAIR_SQL,
+        "parse_date_shapes": f"""SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 6 THEN make_timestamp(2023, 3, {_DAY}, 0, 0, 0.0)
+            WHEN o_orderkey % 8 = 6 THEN make_timestamp(2023, 3, {_DAY}, 14, 30, 0.0) END AS parsed FROM orders""",
+        "arabic_marks": s("customer", "c_custkey", "raw_ar", "cleaned", r"regexp_replace({c}, '[\x{064B}-\x{065F}\x{0670}]', '', 'g')"),
+        "arabic_tatweel": s("customer", "c_custkey", "raw_ar", "cleaned", "replace({c}, chr(1600), '')"),
+        "arabic_alef": s("customer", "c_custkey", "raw_ar", "cleaned", "translate({c}, 'أإآ', 'ااا')"),
+        "arabic_yeh": s("customer", "c_custkey", "raw_ar", "cleaned", "translate({c}, 'ى', 'ي')"),
+        "arabic_digits": s("customer", "c_custkey", "raw_ar", "cleaned", "translate({c}, '٠١٢٣٤٥٦٧٨٩', '0123456789')"),
+        "clean_fill_mean": _clean_orders_sql("avg"),
+        "clean_fill_median": _clean_orders_sql("median"),
+        "clean_merge_raw": """SELECT c_custkey, 'Natiion-' || c_nationkey AS "Country", trim(c_mktsegment || ' ') AS "Segment", n_name || ' *#' AS "Label"
+            FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+        "parquet_round_trip": f"""SELECT c_custkey, c_name, CAST({dirty("n_null", "c_custkey")} AS DOUBLE) AS n_null,
+            row_number() OVER (ORDER BY c_custkey) AS row_index FROM customer""",
         "clean_table": _clean_sql(),
         **dict.fromkeys(("clean_log", "job_log"), _CLEAN_SQL + """SELECT CAST(step AS INT) AS step, action, CAST(n AS BIGINT) AS n FROM (
             SELECT 0 AS step, 'merged' AS action, count(*) FILTER (hit) AS n FROM j
