@@ -22,7 +22,10 @@ _MONTH = (
     r"|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
 )
 _WEEKDAY = r"^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +)?"
-_MONTH_INDEX = "janfebmaraprmayjunjulaugsepoctnovdec"
+# The first letters of a month's name, and its number.
+_MONTHS = {
+    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12,
+}
 
 YEAR_FIRST = rf"^([0-9]{{4}}){_SEP}([0-9]{{1,2}}){_SEP}([0-9]{{1,2}}){_END}"
 DAY_FIRST = rf"^([0-9]{{1,2}}){_SEP}([0-9]{{1,2}}){_SEP}([0-9]{{4}}){_END}"
@@ -65,7 +68,7 @@ def iso_layout(s: Column, reference_year: int = 2026) -> Column:
 
     def month_name(pattern: str, group: int, layout: str) -> Column:
         name = F.lower(F.substring(F.regexp_extract(s, pattern, group), 1, 3))
-        month = ((F.position(name, F.lit(_MONTH_INDEX)) + 2) / 3).cast("int").cast("string")
+        month = F.create_map(*[F.lit(x) for m, n in _MONTHS.items() for x in (m, str(n))])[name]
         return F.replace(F.regexp_replace(s, pattern, layout), F.lit("MM"), month)
 
     def short(pattern: str, layout: str, year: Column) -> Column:
