@@ -8,7 +8,7 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Public license notices, by label.
+# Public license notices, by label; what follows a colon tells two notices of a label apart.
 TEMPLATES = {
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files (the "Software"), to deal in the Software without restriction, including without
@@ -35,6 +35,10 @@ without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
 License for more details.""",
     "mpl": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
 MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "mit:notice": "Released under the MIT License.",
     "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy,
 modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
 for any purpose, commercial or non-commercial, and by any means.""",

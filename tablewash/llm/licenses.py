@@ -4,7 +4,8 @@ All rolling word k-grams of a text are hashed and joined to the positions of the
 k-grams in the license templates.  A hit lies on the diagonal "text position minus
 template position"; votes are counted per text, template and diagonal, neighbouring
 diagonals (a few words inserted or left out) are merged into spans, and a span is
-verified on the words: the share of the template that stands there in order.
+verified on the words: the share of the template that stands there in order.  A template of
+fewer than ``SHORT`` words needs votes for half of its grams, and must stand there in full.
 
 Before the join each task leaves out grams whose hash is in no template (templates are
 part of the program, so their table is small at any input size).  Verification sees only
@@ -29,6 +30,8 @@ from . import tokens
 from .license_texts import PHRASES, TEMPLATES
 from .store import written
 
+# Templates with fewer words are notices of one line, which differ in a word or a number.
+SHORT = 20
 FIRST = ("row bigint, id bigint, n_words bigint, places array<struct<label:string,start:bigint>>,"
          " grams array<struct<start:bigint,hash:bigint>>, text string")
 
@@ -53,9 +56,15 @@ def phrase_starts(words: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
+def votes_needed(length: int, k: int, votes: int) -> int:
+    """Votes for a template of so many words: half of its grams, ``votes`` at most."""
+    return min(votes, max(1, -(-(length - k + 1) // 2)))
+
+
 def first_pass(k: int, votes: int):
     """Named phrases and template grams of each text; the text itself where a span is possible."""
     phrases = [(hashed(p), label) for p, label in PHRASES.items()]
+    least = min(votes_needed(len(hashed(t)), k, votes) for t in TEMPLATES.values())
     wanted = np.unique(np.concatenate([tokens.gram_hashes(hashed(t), k) for t in TEMPLATES.values()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +87,7 @@ def first_pass(k: int, votes: int):
                     t = int(np.searchsorted(at, s, "right")) - 1
                     if s + k <= at[t + 1]:
                         grams[t].append({"start": int(s - at[t]), "hash": int(hashes[s].astype(np.int64))})
-                shown = pa.array([len(g) >= votes for g in grams], pa.bool_())
+                shown = pa.array([len(g) >= least for g in grams], pa.bool_())
                 text = piece.column("text")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + n)), piece.column("id"), pa.array(np.diff(at)),
@@ -107,31 +116,33 @@ def verifier(slack: int):
         for batch in batches:
             shares = []
             for text, label, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "lo", "hi")), strict=True):
-                shares.append(share(hashed(text)[max(0, lo - slack):hi + slack], templates[label]))
+                wider = 0 if len(templates[label]) < SHORT else slack
+                shares.append(share(hashed(text)[max(0, lo - wider):hi + wider], templates[label]))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("row", "label", "lo", "hi", "votes")), pa.array(shares, pa.float64())],
                 ["row", "label", "lo", "hi", "votes", "share"])
     return run
 
 
-def template_grams(spark, k: int) -> DataFrame:
-    rows = [(label, len(hashed(t)), i, int(h)) for label, t in TEMPLATES.items()
+def template_grams(spark, k: int, votes: int) -> DataFrame:
+    """The grams of all templates with their positions, and the votes that their template needs."""
+    rows = [(label, votes_needed(len(hashed(t)), k, votes), i, int(h)) for label, t in TEMPLATES.items()
             for i, h in enumerate(tokens.gram_hashes(hashed(t), k).astype(np.int64))]
-    return spark.createDataFrame(rows, "label string, length int, position int, hash bigint")
+    return spark.createDataFrame(rows, "label string, needed int, position int, hash bigint")
 
 
 def license_spans(found: DataFrame, k: int, votes: int, gap: int) -> DataFrame:
     """Spans of merged diagonals: row, label, lo, hi, votes."""
     hits = found.where(F.col("text").isNotNull()).select("row", F.explode("grams").alias("g"))
     hits = hits.select("row", F.col("g.start").alias("start"), F.col("g.hash").alias("hash"))
-    hits = hits.join(F.broadcast(template_grams(found.sparkSession, k)), "hash")
-    diagonals = hits.groupBy("row", "label", "length", (F.col("start") - F.col("position")).alias("diagonal")).agg(
+    hits = hits.join(F.broadcast(template_grams(found.sparkSession, k, votes)), "hash")
+    diagonals = hits.groupBy("row", "label", "needed", (F.col("start") - F.col("position")).alias("diagonal")).agg(
         F.count("*").alias("votes"), F.min("start").alias("lo"), (F.max("start") + k).alias("hi"))
     order = Window.partitionBy("row", "label").orderBy("diagonal")
     begins = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > gap).cast("int"), F.lit(1))
     merged = diagonals.withColumn("part", F.sum(begins).over(order))
-    return merged.groupBy("row", "label", "part").agg(
-        F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("votes") >= votes).drop("part")
+    return merged.groupBy("row", "label", "needed", "part").agg(
+        F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("votes >= needed").drop("part", "needed")
 
 
 def scan_licenses(
@@ -143,7 +154,10 @@ def scan_licenses(
     found = written(texts.mapInArrow(first_pass(k, votes), FIRST), "licenses")
     spans = license_spans(found, k, votes, gap)
     checked = spans.join(found.where(F.col("text").isNotNull()).select("row", "text"), "row").mapInArrow(
-        verifier(gap), "row bigint, label string, lo bigint, hi bigint, votes bigint, share double").where(F.col("share") >= least_share)
+        verifier(gap), "row bigint, label string, lo bigint, hi bigint, votes bigint, share double")
+    short = [label for label, t in TEMPLATES.items() if len(hashed(t)) < SHORT]
+    checked = checked.where(F.col("share") >= F.when(F.col("label").isin(short), 1.0).otherwise(least_share))
+    checked = checked.withColumn("label", F.substring_index("label", ":", 1))
     by_row = checked.groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("label", "lo", "hi", "votes", "share"))).alias("spans"), F.max("share").alias("share"))
     base = F.array_distinct(F.col("places.label"))
