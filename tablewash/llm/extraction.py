@@ -7,8 +7,8 @@ linear scan finds the contiguous region with the largest sum.  Its text is put o
 by block, without the parts that are never content: scripts, forms, menus, notices,
 adverts, comments and the like, known by element, class, id or role.
 
-Weights are counted on at most about ``max_labelled`` pages drawn by a hash; extraction
-covers the whole html of every page.  Defined cases: NULL html and pages without words
+Weights are counted on at most ``max_labelled`` pages drawn by a hash of id and html; extraction
+covers the whole html of every page and does not look at how the page marks its main element.  Defined cases: NULL html and pages without words
 give an empty text; a region has no beginning that adds nothing, and of equal sums the earliest
 region counts, the longer one if they begin alike; unclosed and stray tags are read as they stand; repeated rows give equal results.
 """
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import bounded_draw
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>""", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARKS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -98,12 +100,6 @@ def page_tokens(page: str) -> list[tuple[str, str, bool]]:
     return out
 
 
-def _kind(name: str, in_main: bool, marked: bool) -> str:
-    """The kind of a token: on marked pages inside and outside are told apart."""
-    base = "word" if name == "" else name
-    return f"{base}:{'in' if in_main else 'out'}" if marked else base
-
-
 def count_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each kind of token stands inside and outside the main element of marked pages."""
     counts: dict[tuple[str, bool], int] = {}
@@ -120,12 +116,15 @@ def count_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ["kind", "inside", "n"])
 
 
-def learn_weights(pages: DataFrame, html_column: str = "html", max_labelled: int = 4_000) -> dict[str, float]:
-    """Log ratios by kind: from ``LEAST`` to ``MOST`` for words, below ``-LEAST`` for tags."""
-    share = min(1.0, max_labelled / max(1, pages.count()))
-    html = pages.select(F.col(html_column).cast("string").alias("html"))
-    draw = (F.xxhash64("html") % 1_000_000 + 1_000_000) % 1_000_000
-    rows = html.where(draw < int(1e6 * share)).mapInArrow(count_kinds, "kind string, inside boolean, n bigint")
+def learn_weights(
+    pages: DataFrame, html_column: str = "html", max_labelled: int = 4_000, id_column: str = "page_id", max_bytes: int = 256 << 20,
+) -> dict[str, float]:
+    """Log ratios by kind: from ``LEAST`` to ``MOST`` for words, below ``-LEAST`` for tags.
+
+    Learned from at most ``max_labelled`` pages of at most ``max_bytes``, drawn by id and html.
+    """
+    html = pages.select(F.col(id_column).alias("id"), F.col(html_column).cast("string").alias("html"))
+    rows = bounded_draw(html, ["id", "html"], "html", max_labelled, max_bytes).select("html").mapInArrow(count_kinds, "kind string, inside boolean, n bigint")
     counts = {(r.kind, r.inside): r.n for r in rows.groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()}
     if not counts:
         return {}
@@ -133,23 +132,19 @@ def learn_weights(pages: DataFrame, html_column: str = "html", max_labelled: int
     weights = {}
     for kind in {k for k, _ in counts}:
         n_in, n_out = counts.get((kind, True), 0), counts.get((kind, False), 0)
-        values = {kind: (n_in, n_out), f"{kind}:in": (n_in, 0), f"{kind}:out": (0, n_out)}
-        for key, (a, b) in values.items():
-            ratio = math.log((a + 0.5) / total[True]) - math.log((b + 0.5) / total[False])
-            weights[key] = min(MOST, max(LEAST, ratio)) if kind == "word" else min(-LEAST, ratio)
+        ratio = math.log((n_in + 0.5) / total[True]) - math.log((n_out + 0.5) / total[False])
+        weights[kind] = min(MOST, max(LEAST, ratio)) if kind == "word" else min(-LEAST, ratio)
     return weights
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
     tokens = page_tokens(page)
-    marked = any(t[2] for t in tokens)
     best, best_range, total, begin = 0.0, (0, 0), 0.0, 0
-    for i, (name, text, inside) in enumerate(tokens):
-        kind = _kind(name, inside, marked)
+    for i, (name, text, _) in enumerate(tokens):
         if name:
-            total += weights.get(kind, DEFAULT["tag"])
+            total += weights.get(name, DEFAULT["tag"])
         else:
-            total += weights.get(kind, DEFAULT["word"]) * len(text.split())
+            total += weights.get("word", DEFAULT["word"]) * len(text.split())
         if total <= 0:
             total, begin = 0.0, i + 1
         elif total > best or (total == best and best_range[0] == begin):
