@@ -371,12 +371,23 @@ def remove_repeats(
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_tables = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TABLE_BYTES)
     name = f"suffix_{uuid.uuid4().hex}"
-    # Bucketed by shard: each round reads only the columns it needs and joins the answers without moving a shard.
-    texts.mapInArrow(shard_rows, STATE).write.bucketBy(n_tables, "shard").option("compression", "zstd").saveAsTable(name)
-    state = spark.table(name)
+    steps: list[DataFrame] = []
+    try:
+        # Bucketed by shard: each round reads only the columns it needs and joins the answers without moving a shard.
+        texts.mapInArrow(shard_rows, STATE).write.bucketBy(n_tables, "shard").option("compression", "zstd").saveAsTable(name)
+        out = _merged(spark.table(name), lengths, steps)
+        return written(out.withColumnRenamed("id", id_column), "repeats")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for step in steps:
+            forget(step)
+
+
+def _merged(state: DataFrame, lengths: Lengths, steps: list[DataFrame]) -> DataFrame:
+    """The rounds of the merge, then the texts without their repeats; the answers of each round are written to ``steps``."""
     n_suffixes = state.agg(F.sum(F.length("lf") / 4)).first()[0] or 0
     n_buckets = max(8, int(n_suffixes) // IDS_PER_BUCKET)
-    answers, steps = None, []
+    answers = None
 
     def with_answers(*columns: str) -> DataFrame:
         own = state.select("shard", "ids", "ends", "bwt", "lf", "at", *columns)
@@ -392,10 +403,5 @@ def remove_repeats(
         said = sent.groupBy("bucket").applyInArrow(judge, "shard bigint, round int, bucket bigint, said binary")
         steps.append(written(said, "answers"))
         answers = steps[-1] if answers is None else answers.unionByName(steps[-1])
-    out = with_answers("text").mapInArrow(
+    return with_answers("text").mapInArrow(
         remover(lengths), "id bigint, n_bytes bigint, n_repeated bigint, starts array<bigint>, ends array<bigint>, kept_text string, kept_sha256 string")
-    out = written(out.withColumnRenamed("id", id_column), "repeats")
-    spark.sql(f"DROP TABLE {name}")
-    for step in steps:
-        forget(step)
-    return out
