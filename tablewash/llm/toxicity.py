@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .licenses import text_words
+from .sampling import bounded_draw
 
 
 @dataclass
@@ -122,8 +123,12 @@ def held_out(id_column: str) -> Column:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
-    max_positives: int = 4_000, max_unlabelled: int = 8_000,
+    max_positives: int = 4_000, max_unlabelled: int = 8_000, max_bytes: int = 64 << 20,
 ) -> Model:
+    """Learn from at most ``max_positives`` toxic and ``max_unlabelled`` other rows, each part with at most ``max_bytes`` of text.
+
+    Both are drawn by a hash of id and text, so copies under several ids are drawn one by one.
+    """
     marks = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("toxic"))
     marks = marks.where(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL")
     n_toxic, n_marked = marks.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
@@ -131,13 +136,11 @@ def train(
     if not n_toxic:
         return nothing
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).where(~held_out("id"))
-    draw = (F.xxhash64("text") % 1_000_000 + 1_000_000) % 1_000_000
-    share = min(1.0, max_unlabelled / max(1, texts.count()))
-    positives = marks.where("toxic = 1").withColumn("draw", (F.xxhash64("id") % 1_000_000 + 1_000_000) % 1_000_000)
-    positives = positives.where(F.col("draw") < int(1e6 * min(1.0, max_positives / n_toxic))).select("id")
-    chosen = texts.join(positives, "id").select(F.lit(True).alias("toxic"), "text")
+    # Ids first: only a bounded number of them goes to the texts, so the texts do not move.
+    ids = bounded_draw(marks.where("toxic = 1").select("id"), ["id"], None, max_positives)
+    chosen = bounded_draw(texts.join(ids, "id"), ["id", "text"], "text", max_positives, max_bytes).select(F.lit(True).alias("toxic"), "text")
     # Toxic rows of the draw belong to the unlabelled part too; their labels are not used.
-    unlabelled = texts.where(draw < int(1e6 * share)).select(F.lit(False).alias("toxic"), "text")
+    unlabelled = bounded_draw(texts, ["id", "text"], "text", max_unlabelled, max_bytes).select(F.lit(False).alias("toxic"), "text")
     sample = chosen.unionByName(unlabelled).mapInArrow(word_sets, "toxic boolean, words array<bigint>").toArrow()
     toxic = np.array(sample.column("toxic").to_pylist(), bool)
     sets = [np.array(w.values).view(np.uint64) for w in sample.column("words")]

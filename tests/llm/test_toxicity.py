@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tablewash.llm import toxicity
+from tablewash.llm import sampling, toxicity
 
 LABELS = "doc_id bigint, quality int, toxic int, text string"
 
@@ -54,3 +54,18 @@ def test_defined_cases(spark, small_docs, small_texts, no_docs):
     unknown = spark.createDataFrame([(100, None, None, None), (None, 1, 1, None), (101, 0, 1, None), (101, 0, 0, None)], LABELS)
     assert toxicity.score_toxicity(small_docs, toxicity.train(small_docs, unknown)).count() == len(small_texts)
     assert toxicity.score_toxicity(no_docs, toxicity.train(no_docs, unknown)).count() == 0
+
+
+def test_draw_is_bounded_and_takes_copies_one_by_one(spark):
+    rows = [(i, "copy " * 20 if i % 3 else f"own {i}") for i in range(3000)] + [(None, None)] * 50 + [(7000, "x" * 5000)]
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(7)
+    got = sampling.bounded_draw(df, ["id", "text"], "text", 300, 100_000).collect()
+    assert 250 <= len(got) <= 300 and sum(len(r.text or "") for r in got) <= 100_000
+    copies = sum((r.text or "").startswith("copy") for r in got)
+    assert 0.55 < copies / len(got) < 0.78 and all(len(r.text or "") < 1000 for r in got)
+    again = sampling.bounded_draw(df.repartition(3), ["id", "text"], "text", 300, 100_000).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    few = sampling.bounded_draw(df, ["id", "text"], "text", 300, 5_000).collect()
+    assert 0 < len(few) < 200 and sum(len(r.text or "") for r in few) <= 5_000
+    same = spark.createDataFrame([(1, "same")] * 500, "id bigint, text string")
+    assert sampling.bounded_draw(same, ["id", "text"], "text", 100, 10_000).count() == 100
